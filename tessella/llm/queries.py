@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .token_windows import OP5_SQL, op5_token_windows
 from .urls import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_windows": op5_token_windows,
     "op8_url_filter": op8_url_filter,
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
+    "op5_token_windows": OP5_SQL,
     "op8_url_filter": OP8_SQL,
 }
