@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .token_windows import OP5_SQL, op5_token_windows
 from .urls import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_windows": op5_token_windows,
     "op8_url_filter": op8_url_filter,
