@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .quality import op6_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .token_windows import OP5_SQL, op5_token_windows
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_windows": op5_token_windows,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
 }
 ORACLES = {
