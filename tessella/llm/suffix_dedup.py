@@ -31,7 +31,7 @@ from .common import table, written
 
 U = np.uint64
 SEGMENT = 1 << 20
-PART_BYTES = 6 << 20
+PART_BYTES = 1 << 19
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict = {}
 
