@@ -7,10 +7,12 @@ from .quality import op6_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
 from .token_windows import OP5_SQL, op5_token_windows
+from .toxicity import op2_toxicity
 from .urls import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_windows": op5_token_windows,
