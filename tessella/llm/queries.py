@@ -6,6 +6,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .quality import op6_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
+from .token_files import op7_token_files
 from .token_windows import OP5_SQL, op5_token_windows
 from .toxicity import op2_toxicity
 from .urls import OP8_SQL, op8_url_filter
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_windows": op5_token_windows,
     "op6_quality": op6_quality,
+    "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
 }
 ORACLES = {
