@@ -26,26 +26,24 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, table, written
+from .words import Remembered, by_words, in_batches
 
 MAGIC = b"TESSRP01"
 END_ID = 2
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 3 << 20
 PARTITION_BYTES = 24 << 20
 ROUNDS = 2
 MIN_COUNT = 8
 #: Symbols stay below 2^16: vocabulary, the end of a document, nonterminals.
 SYMBOLS = 1 << 16
-CACHE_WORDS = 1_000_000
 #: Characters over which every reading of the pre-tokenizer's classes agrees: ASCII, and Latin letters and signs.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
-U = np.uint64
 
 
 class Encoder:
@@ -59,7 +57,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # Where white space follows a space, or a special token stands, a text isn't cut at its spaces.
         self.apart = ["  ", " \t", " \n", " \r", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.parts: dict[str, bytes] = {}
+        self.known = Remembered(self._words)
         names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.spaced = np.array([w.startswith("\u0120") for w, _ in names])  # the byte-level name of a space
 
@@ -76,44 +74,14 @@ class Encoder:
             out += [flat[x:y] for x, y in zip(at[:-1], at[1:])]
         return out
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        cache = self.parts
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = words
-        cache.update(zip(new, self._words(new)))
-        return [cache[w] for w in words]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         plain = [k for k, t in enumerate(texts) if t and PLAIN.fullmatch(t) and not t.endswith(" ") and not any(x in t for x in self.apart)]
         odd = [k for k in sorted(set(range(len(texts))) - set(plain)) if texts[k]]
         for k, got in zip(odd, self._library([texts[k] for k in odd])):
             out[k] = got
-        if not plain:
-            return out
-        parts = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
-        begin = parts.offsets.to_numpy().astype(np.int64)
-        flat = parts.flatten()
-        # A text's first word has no space before it. (Where the text begins with one, that word is empty.)
-        firsts = flat.take(pa.array(begin[:-1])).to_pylist()
-        inner = np.ones(len(flat), bool)
-        inner[begin[:-1]] = False
-        coded = flat.filter(pa.array(inner)).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        at = np.empty(len(flat), np.int64)
-        at[inner] = coded.indices.to_numpy()
-        at[begin[:-1]] = len(words) + np.arange(len(plain))
-        known = self._known(words) + self._library(firsts)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), "<u4")
-        n = size[at]
-        ends = np.cumsum(n)
-        flat = ids[np.repeat((np.cumsum(size) - size)[at] - (ends - n), n) + np.arange(ends[-1])].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[begin]).tolist()
-        for k, x, y in zip(plain, cuts[:-1], cuts[1:]):
-            out[k] = flat[x:y]
+        for k, code in zip(plain, by_words([texts[k] for k in plain], self.known, self._library)):
+            out[k] = code
         return out
 
 
@@ -134,9 +102,10 @@ def repair(symbols: np.ndarray, end: int, rounds: int = ROUNDS, min_count: int =
         room = (limit - end - 1 - len(rules)) // left if limit - end - 1 > len(rules) else 0
         if len(seq) < 2 or not room:
             break
-        code = (seq[:-1].astype(U) << U(16)) | seq[1:]
-        code[(seq[:-1] == end) | (seq[1:] == end)] = U(0xFFFFFFFF)  # no pair: end itself is below 2^16 - 1
-        ordered = np.sort(code.astype(np.uint32))
+        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+        closing = seq == end
+        code[closing[:-1] | closing[1:]] = 0xFFFFFFFF  # no pair: end itself is below 2^16 - 1
+        ordered = np.sort(code)
         edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
         pair, count = ordered[edge[:-1]], np.diff(edge)
         ok = (count >= min_count) & (pair != 0xFFFFFFFF)
@@ -151,7 +120,6 @@ def repair(symbols: np.ndarray, end: int, rounds: int = ROUNDS, min_count: int =
         mult = np.uint32(0x9E3779B1)
         slot_of = lambda c: (c * mult) >> np.uint32(12)
         slots[slot_of(pair)] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        code = code.astype(np.uint32)
         at = slots[slot_of(code)]
         hit = np.flatnonzero(at)
         hit = hit[pair[at[hit] - 1] == code[hit]]
@@ -252,18 +220,6 @@ class Shard:
         return self.expand(seq[a:b])[begin - offset:stop - offset]
 
 
-def encoded(texts: pa.Array, encode: Encoder, step: int = 32 << 20):
-    """Each text's ids, encoded some MB at a time."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t.as_py())
-        size += len(held[-1])
-        if size >= step:
-            yield from encode(held)
-            held, size = [], 0
-    yield from encode(held)
-
-
 def _put(path: str, data: bytes) -> None:
     fs, at = pafs.FileSystem.from_uri(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -294,7 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [k], "path": [path], "n_docs": [len(ids)], "n_tokens": [n], "n_bytes": [len(data)]})
 
         for batch in batches:
-            for i, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encode)):
+            for i, got in zip(batch.column(0).to_pylist(), in_batches(batch.column(1), encode)):
                 if ids and n + len(got) // 4 + 1 > shard_tokens:
                     yield row()
                     k, ids, texts, n = k + 1, [], [], 0
