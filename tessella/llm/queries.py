@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .pieces import op10_pieces
+from .pii import op9_pii
 from .quality import op6_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op1_suffix_dedup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
+    "op9_pii": op9_pii,
     "op10_pieces": op10_pieces,
 }
 ORACLES = {
