@@ -9,8 +9,8 @@ A shard file holds the rules, the expansion length of each, where each document'
 these, one document, or a slice of it, is decoded without the rest (``Shard.document``). Files are written under a temporary
 name and renamed, named by task and number, so that a task that runs again replaces its own.
 
-Encoding looks words up in a dictionary that the tokenizers library fills: the byte-level pre-tokenizer never joins text across a space that
-precedes a non-space, so a text is cut there and each distinct part is encoded by the library once. Texts with characters outside
+Encoding looks words up in a dictionary that the tokenizers library fills: the byte-level pre-tokenizer never joins text across the front of a space that
+precedes a non-space, nor a letter or digit with a following sign or line end, so a text is cut there and each distinct part is encoded by the library once. Texts with characters outside
 ``PLAIN``, runs of spaces or the text of a special token are encoded by the library as a whole.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows with equal ids are ordered by text;
@@ -26,13 +26,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, table, written
-from .words import Remembered, by_words, in_batches
+from .words import Remembered, by_parts, in_batches
 
 MAGIC = b"TESSRP01"
 END_ID = 2
@@ -65,14 +66,17 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words without spaces, each as after a space: encoded in long texts, and told apart by the ids that begin with a space."""
-        out: list[bytes] = []
-        for a in range(0, len(words), 1000):
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words[a:a + 1000])], add_special_tokens=False)[0].ids, "<u4")
+        """Those that begin with a space and hold no other are encoded in long texts, and told apart by the ids that begin with a space."""
+        spaced = [w for w in words if w[:1] == " "]
+        others = [w for w in words if w and w[0] != " "]
+        out: dict[str, bytes] = dict(zip(others, self._library(others)))
+        for a in range(0, len(spaced), 1000):
+            some = spaced[a:a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             flat = ids.tobytes()
-            out += [flat[x:y] for x, y in zip(at[:-1], at[1:])]
-        return out
+            out.update(zip(some, (flat[x:y] for x, y in zip(at[:-1], at[1:]))))
+        return [out.get(w, b"") for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -80,11 +84,18 @@ class Encoder:
         odd = [k for k in sorted(set(range(len(texts))) - set(plain)) if texts[k]]
         for k, got in zip(odd, self._library([texts[k] for k in odd])):
             out[k] = got
-        for k, code in zip(plain, by_words([texts[k] for k in plain], self.known, self._library)):
-            out[k] = code
+        if plain:
+            for k, code in zip(plain, by_parts(cut([texts[k] for k in plain]), self.known)):
+                out[k] = code
         return out
 
 
+def cut(texts: list[str]) -> pa.ListArray:
+    """Texts of ``PLAIN`` characters cut before their spaces, and between a letter or digit and what follows it that is neither: no token spans these."""
+    marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([\pL\pN])([^\s\pL\pN]|[\t\n\r])", "\\1\x00\\2")
+    return pc.split_pattern(pc.replace_substring(marked, " ", "\x00 "), "\x00")
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -1,4 +1,4 @@
-"""Texts cut at their single spaces, each distinct word looked up once for a batch."""
+"""Texts cut into words, each distinct word looked up once for a batch."""
 
 from __future__ import annotations
 
@@ -6,32 +6,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 
-def by_words(texts: list[str], known: Callable[[list[str]], list[bytes]], firsts: Callable[[list[str]], list[bytes]] | None = None, width: int = 4) -> list[bytes]:
-    """Each text's words' codes, joined. ``known`` gives the code of each distinct word, a multiple of ``width`` bytes long;
-    ``firsts``, if given, that of each text's first word."""
-    if not texts:
-        return []
-    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-    begin, flat = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
-    at = np.empty(len(flat), np.int32)
-    inner = np.ones(len(flat), bool)
-    if firsts:
-        inner[begin[:-1]] = False
-    coded = (flat.filter(pa.array(inner)) if firsts else flat).dictionary_encode()
+def by_parts(parts: pa.ListArray, known: Callable[[list[str]], list[bytes]], width: int = 4) -> list[bytes]:
+    """Each list's words' codes, joined. ``known`` gives the code of each distinct word, a multiple of ``width`` bytes long."""
+    begin = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
     codes = known(coded.dictionary.to_pylist())
-    at[inner] = coded.indices.to_numpy()
-    if firsts:
-        at[begin[:-1]] = len(codes) + np.arange(len(texts))
-        codes = codes + firsts(flat.take(pa.array(begin[:-1])).to_pylist())
+    at = coded.indices.to_numpy()
     size = np.fromiter(map(len, codes), np.int32, len(codes)) // width
     units = np.frombuffer(b"".join(codes), f"u{width}")
     n = size[at]
     ends = np.cumsum(n, dtype=np.int32)
     place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - (ends - n), n)
-    place += np.arange(ends[-1], dtype=np.int32)
+    place += np.arange(len(place), dtype=np.int32)
     joined = units[place].tobytes()
     cuts = (width * np.concatenate([[0], ends]).astype(np.int64)[begin]).tolist()
     return [joined[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
