@@ -134,7 +134,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (p - labels) + 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - labels) + w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break

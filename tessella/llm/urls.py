@@ -10,7 +10,8 @@ Rules (host, path) are policy, few and given by the caller: a rule fits its host
 rule's; the longest wins.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and no list entry (verdict ``allow``);
-repeated rows are judged each on its own; an empty list blocks nothing; other columns are ignored.
+repeated rows are judged each on its own; an empty list blocks nothing; other columns pass through, but
+those named like a column that is made give way to it.
 """
 
 from __future__ import annotations
@@ -72,10 +73,10 @@ def _block(h: Column, blocks: int) -> Column:
 
 
 def build_filter(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w7) from a column ``canon``."""
+    """(__slot, __w0..__w7) from a column ``canon``."""
     h = F.xxhash64("canon")
-    rows = listed.where(F.col("canon").isNotNull()).select(_block(h, blocks).alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(_masks(h))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(len(SALTS))])
+    rows = listed.where(F.col("canon").isNotNull()).select(_block(h, blocks).alias("__slot"), *[m.alias(f"__w{i}") for i, m in enumerate(_masks(h))])
+    return rows.groupBy("__slot").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(len(SALTS))])
 
 
 def listed_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", bits_per_url: int = BITS_PER_URL, max_broadcast_mb: int = 64) -> DataFrame:
@@ -88,19 +89,20 @@ def listed_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", bits_
     filt = hint(build_filter(entries, blocks))
     keyed = pages.withColumn("__canon", canonical(F.col(url_col)))
     h = F.xxhash64("__canon")
-    probe = keyed.withColumn("__block", _block(h, blocks)).join(filt, F.col("__block") == F.col("block"), "left")
-    passes = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(h))])
+    probe = keyed.withColumn("__block", _block(h, blocks)).join(filt, F.col("__block") == F.col("__slot"), "left")
+    passes = reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(h))])
     probe = probe.withColumn("__maybe", F.coalesce(passes, F.lit(False)) & F.col("__canon").isNotNull())
     ours = entries.select(F.col("canon").alias("__entry"))
     # A row that the filter holds back gets a null key, which the exact join passes over: it is neither matched nor lost.
     probe = probe.withColumn("__key", F.when(F.col("__maybe"), F.col("__canon")))
     out = probe.join(ours, F.col("__key") == F.col("__entry"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], F.col("__canon").alias("canon"), F.col("__maybe").alias("maybe"), F.col("__entry").isNotNull().alias("listed"))
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("canon", "maybe", "listed")]
+    return out.select(*own, F.col("__canon").alias("canon"), F.col("__maybe").alias("maybe"), F.col("__entry").isNotNull().alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url", **kw) -> DataFrame:
     """(all columns of ``pages``, host, path, rule, verdict, canon, maybe, listed)."""
-    out = listed_urls(pages, listed, url_col, **kw)
+    out = listed_urls(pages, listed, url_col, **kw).drop("host", "path", "rule", "verdict")
     host, path = host_path(F.col(url_col))
     rule, verdict = rule_for(host, path, rules)
     own = F.when(F.col("listed"), F.lit("block")).otherwise("allow")
