@@ -1,6 +1,5 @@
-"""Every query over the test tables: the Spark callable and, where SQL can express it, the DuckDB text."""
+"""Every query of the reference operators over the test tables: the Spark callable and, where SQL can express it, the DuckDB text."""
 
-from __future__ import annotations
+from .queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,41 @@
+"""Mark ages as state: each object's mark is remembered, and a decision comes out when its grace period has passed without a touch.
+
+A streaming form of the rule for waiting marks: an event is (id, kind mark/touch/unmark, at). ``applyInPandasWithState`` keeps one timestamp for each
+marked id and a processing-time timer; an id whose timer fires is eligible for deletion.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "id long, decision string, marked timestamp"
+
+
+def eligible(events: DataFrame, grace_ms: int) -> DataFrame:
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (marked,) = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "decision": ["eligible"], "marked": [pd.Timestamp(marked, unit="us")]})
+            return
+        rows = pd.concat(list(batches)).sort_values("at")
+        marked = state.get[0] if state.exists else None
+        for kind, at in zip(rows["kind"], rows["at"]):
+            us = int(at.value // 1000)
+            if kind == "mark":
+                marked = us if marked is None else marked
+            elif kind == "unmark" or marked is not None and us >= marked:
+                marked = None
+        if marked is None:
+            if state.exists:
+                state.remove()
+                yield pd.DataFrame({"id": [key[0]], "decision": ["revived"], "marked": [pd.NaT]})
+            return
+        state.update((marked,))
+        state.setTimeoutDuration(grace_ms)
+
+    return events.groupBy("id").applyInPandasWithState(step, OUT, "marked long", "append", GroupStateTimeout.ProcessingTimeTimeout)
