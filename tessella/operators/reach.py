@@ -7,12 +7,11 @@ is bounded: more than 256 levels, or a cycle of new nodes, is an error.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 MAX_DEPTH = 256
 
 
@@ -20,32 +19,18 @@ class TooDeep(RuntimeError):
     pass
 
 
-def shared_folder(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _table(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/tessella/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def reachable(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, keep=None) -> DataFrame:
     """(node, depth) from ``roots`` (node) over ``edges`` (parent, child); the depth is the shortest.
 
     ``keep``: a function of the frontier that prunes it, so that what lies below is never read.
     """
     steps = edges.select("parent", "child").where("parent <> child").distinct()
-    frontier = _table(roots.select("node").distinct().select("node", F.lit(0).alias("depth")))
+    frontier = written(roots.select("node").distinct().select("node", F.lit(0).alias("depth")), "reach")
     visited, depth = frontier, 0
     while True:
         below = frontier.join(steps, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         below = below.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth + 1).alias("depth"))
-        frontier = _table(keep(below) if keep else below)
+        frontier = written(keep(below) if keep else below, "reach")
         if frontier.isEmpty():
             return visited
         depth += 1
