@@ -125,10 +125,19 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_cases(spark, docs, empty, pairs):
-    rows = [("you are an idiot and a moron , stupid clown " * (1 + k % 5) + str(k), 1) for k in range(30)] + [("a quiet day by the river with bread and tea " * (1 + k % 5) + str(k), 0) for k in range(60)]
-    model = toxicity.fit(rows)
+    import random
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(400)]
+
+    def text(marks):
+        return " ".join(r.choice(marks) if marks and r.random() < 0.15 else r.choice(vocabulary) for _ in range(r.randint(40, 120)))
+
+    bad = ["idiot", "moron", "stupid", "clown"]
+    model = toxicity.fit([(text(bad), 1) for _ in range(60)] + [(text([]), 0) for _ in range(120)])
     score = model.scorer()
-    assert score(b"you are an idiot and a moron , stupid clown " * 3) > 0.5 > score(b"a quiet day by the river with bread and tea " * 3)
+    said = [[score(text(m).encode()) >= 0.5 for _ in range(40)] for m in (bad, [])]
+    assert sum(said[0]) >= 34 and sum(said[1]) <= 3
     out = toxicity.with_score(docs.drop("score"), model)
     assert out.columns == [*docs.drop("score").columns, "score"]
     got = out.collect()
