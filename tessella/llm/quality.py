@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: The white space that parts words.
 SPACES = " \t\n\x0b\f\r"
@@ -78,7 +78,7 @@ def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text", id_col:
     each = docs.select(F.col(id_col).cast("long").alias("__id"), words(F.col(text_col)).alias("w")).join(F.broadcast(good), F.col("__id") == F.col("__good"), "left")
     each = each.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(ngrams(F.col("w"), buckets)).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    counts = counts.persist()
+    counts = written(counts, "counts")
     total = counts.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
     r, t = total["r"] or 0, total["t"] or 0
     if not t:
