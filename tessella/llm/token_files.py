@@ -237,6 +237,8 @@ def _put(path: str, data: bytes) -> None:
     part = f"{at}.{TaskContext.get().taskAttemptId()}.tmp"
     with fs.open_output_stream(part) as f:
         f.write(data)
+    if fs.get_file_info(at).type != pafs.FileType.NotFound:  # of an earlier try of this task
+        fs.delete_file(at)
     fs.move(part, at)
 
 
