@@ -47,7 +47,7 @@ class Vocabulary:
         self.unknown = min(score for _, score in pieces.values()) - UNKNOWN_PENALTY
         self.tails = {p[k:] for p in pieces for k in range(len(p))}
         self.apart = all(SPACE not in p.lstrip(SPACE) for p in pieces)
-        self.known = Remembered(self._codes)
+        self.known = Remembered(self._codes, limit=200_000)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
