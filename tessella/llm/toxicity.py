@@ -15,7 +15,7 @@ columns pass through.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,14 +105,17 @@ def _kinds(sets: list[set[bytes]], bands: int = 8, rows: int = 3, least: float =
     return [find(k) for k in range(len(sets))]
 
 
-def _spread(texts: list[bytes]) -> tuple[dict[bytes, int], int]:
+def _spread(texts: list[bytes]) -> tuple[Counter, int]:
     """For each word, how many kinds of text have it, near copies being of one kind; and how many kinds there are."""
-    sets = [set(t.split()) for t in texts]
-    kinds, having = _kinds(sets), defaultdict(set)
-    for kind, words in zip(kinds, sets):
-        for w in words:
-            having[w].add(kind)
-    return {w: len(k) for w, k in having.items()}, len(set(kinds))
+    pool: dict[bytes, bytes] = {}  # one object for each distinct word
+    sets = [{pool.setdefault(w, w) for w in t.split()} for t in texts]
+    groups = defaultdict(list)
+    for kind, words in zip(_kinds(sets), sets):
+        groups[kind].append(words)
+    having: Counter = Counter()
+    for group in groups.values():
+        having.update(set().union(*group))
+    return having, len(groups)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
