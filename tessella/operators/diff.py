@@ -51,9 +51,9 @@ def snapshot_stats(entries: DataFrame) -> DataFrame:
     # Links of one inode meet by an aggregation with a partial step; other files stay out of the shuffle by key.
     own = entries.where((F.col("t") == 0) & ~linked).agg(F.sum("size").alias("b"))
     once = entries.where(linked).groupBy("dev", "ino").agg(F.max("size").alias("size")).agg(F.sum("size").alias("b"))
-    total = own.unionByName(once).agg(F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("bytes"))
     counts = entries.agg(F.count_if(F.col("t") == 0).alias("files"), F.count_if((F.col("t") == 1) & ~F.coalesce("root", F.lit(False))).alias("dirs"), F.count_if(F.col("t") == 2).alias("symlinks"))
-    return counts.join(total, F.lit(True))  # one row each
+    rows = counts.unionByName(own, allowMissingColumns=True).unionByName(once, allowMissingColumns=True)  # one row each
+    return rows.agg(*[F.sum(c).alias(c) for c in ("files", "dirs", "symlinks")], F.coalesce(F.sum("b"), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def hard_link_leaders(entries: DataFrame, order: list[str]) -> DataFrame:

@@ -84,5 +84,7 @@ def rebuild_index(pack_entries: DataFrame, existing: DataFrame, sizes: DataFrame
 
 def rebuild_summary(pack_entries: DataFrame, existing: DataFrame) -> DataFrame:
     entries, old = rebuild_index(pack_entries, existing)
-    counted = entries.agg(F.count_distinct("pack").alias("packs"), F.count("*").alias("chunks"))
-    return counted.join(old.agg(F.count("*").alias("superseded")), F.lit(True))  # two rows of one each
+    zero = F.lit(0).cast("bigint")
+    counted = entries.agg(F.count_distinct("pack").alias("packs"), F.count("*").alias("chunks")).withColumn("superseded", zero)
+    both = counted.unionByName(old.agg(F.count("*").alias("superseded")).select(zero.alias("packs"), zero.alias("chunks"), "superseded"))
+    return both.agg(*[F.sum(c).alias(c) for c in ("packs", "chunks", "superseded")])

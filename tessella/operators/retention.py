@@ -1,7 +1,7 @@
 """Which snapshots to keep: counts of the newest, a span of time, and calendar buckets, for each group of snapshots.
 
-A group is a client and its root paths. Every rule is a ranking window over (group); all windows share that partitioning, so one
-shuffle serves them all.
+A group is a client and its root paths. Every rule is a window over the group in one order, newest first, so one shuffle and one sort
+serve them all.
 """
 
 from __future__ import annotations
@@ -48,15 +48,17 @@ def apply_policy(snapshots: DataFrame, policy: Policy, group: list[str], time: s
     if policy.within_seconds:
         out = out.withColumn("__top", F.max(time).over(over))
         reason("within", F.col(time) >= F.col("__top") - F.make_dt_interval(secs=F.lit(policy.within_seconds)))
-    for name, unit in BUCKETS.items():
-        n = getattr(policy, name)
-        if n:
-            out = out.withColumn(f"__{name}", F.date_trunc(unit, F.col(time)))
-            out = out.withColumn(f"__{name}_rank", F.dense_rank().over(over.orderBy(F.col(f"__{name}").desc())))
-            # Within (group, newest first) a bucket's first row is the one whose predecessor is of another bucket.
-            out = out.withColumn(f"__{name}_before", F.lag(f"__{name}").over(over.orderBy(*newest)))
-            first = F.col(f"__{name}_before").isNull() | (F.col(f"__{name}_before") != F.col(f"__{name}"))
-            reason(name, first & (F.col(f"__{name}_rank") <= n))
+    units = {name: unit for name, unit in BUCKETS.items() if getattr(policy, name)}
+    ordered = over.orderBy(*newest)
+    # Newest first, a bucket's rows stand together: its first row is the one that follows another bucket, and its rank is how many such rows there
+    # have been. So one order serves every rule.
+    out = out.withColumns({f"__{n}": F.date_trunc(u, F.col(time)) for n, u in units.items()})
+    out = out.withColumns({f"__{n}_before": F.lag(f"__{n}").over(ordered) for n in units})
+    out = out.withColumns({f"__{n}_first": F.col(f"__{n}_before").isNull() | (F.col(f"__{n}_before") != F.col(f"__{n}")) for n in units})
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumns({f"__{n}_rank": F.count_if(F.col(f"__{n}_first")).over(running) for n in units})
+    for name in units:
+        reason(name, F.col(f"__{name}_first") & (F.col(f"__{name}_rank") <= getattr(policy, name)))
     return out.withColumn("reasons", F.array_compact(F.array(*reasons))).select(*snapshots.columns, "reasons")
 
 
