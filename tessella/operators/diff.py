@@ -96,3 +96,11 @@ def beside_marker(entries: DataFrame, marker: str) -> DataFrame:
 def recent(rows: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
     """The newest ``n`` rows of each group."""
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+
+
+def commit_gate_trees(reached: DataFrame, marks: DataFrame, trees: DataFrame, touches: DataFrame) -> DataFrame:
+    """(tree, why) of reached trees (node) that carry a mark and are gone, or weren't touched since; rows forbid the commit."""
+    marked = reached.select(F.col("node").alias("id")).join(marks.groupBy("id").agg(F.max("modified").alias("marked")), "id")
+    out = marked.join(trees.select("id", F.lit(True).alias("__there")).distinct(), "id", "left").join(touches.groupBy("id").agg(F.max("modified").alias("touched")), "id", "left")
+    why = F.when(F.col("__there").isNull(), "tree is gone").when(F.coalesce(F.col("touched") < F.col("marked"), F.lit(True)), "not touched since its mark")
+    return out.where(why.isNotNull()).select(F.col("id").alias("tree"), why.alias("why"))

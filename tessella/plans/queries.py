@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scalars as S
-from ..operators import check, chunking, diff, gc, index, kernels, metrics, reach, restore, retention, snapshots, trees
+from ..operators import check, chunking, diff, exclude, gc, index, kernels, metrics, reach, restore, retention, schedule, snapshots, trees
 from .catalog import Tables, with_views
 
 QUERIES: dict = {}
@@ -563,3 +563,72 @@ def _(t):
     return d.select("doc_id", F.sha2(kernels.parity_repair(damaged, F.col("p")), 256).alias("repaired"))
 
 
+
+
+# --- exclusion, gates, schedules ---------------------------------------------------------------------------------------------
+
+RULES = exclude.Rules(patterns=["/b/*3", "!/b/13"], larger_than=180_000, markers={"m7": b"F"}, one_file_system=True)
+
+
+def _tree(t):
+    """Orders as files /<a..d>/<n>/f<key> with marker files m7, and their directories."""
+    o, key = t.raw("orders"), F.col("o_orderkey")
+    top = F.element_at(F.array(*map(F.lit, "abcd")), (key % 4 + 1).cast("int"))
+    dirname = F.concat(F.lit("/"), top, F.lit("/"), (key % 40).cast("string"))
+    name = F.when(key % 90 == 7, "m7").otherwise(F.concat(F.lit("f"), key.cast("string")))
+    dev = F.when(key % 40 == 22, 2).otherwise(1)
+    files = o.select(F.concat(dirname, F.lit("/"), name).alias("path"), dirname.alias("dir"), name.alias("name"), F.lit("file").alias("kind"), F.floor("o_totalprice").cast("bigint").alias("size"), dev.alias("dev"), F.encode("o_orderstatus", "utf-8").alias("head"))
+    files = files.groupBy("path", "dir", "name", "kind").agg(F.max("size").alias("size"), F.max("dev").alias("dev"), F.max("head").alias("head"))
+    dirs = o.select(dirname.alias("path"), F.concat(F.lit("/"), top).alias("dir"), (key % 40).cast("string").alias("name"), F.lit("dir").alias("kind"), F.lit(0).cast("bigint").alias("size"), dev.alias("dev"), F.lit(None).cast("binary").alias("head")).distinct()
+    return files.unionByName(dirs).withColumn("root_dev", F.lit(1))
+
+
+_TREE = """o AS (SELECT o_orderkey AS k, '/' || substr('abcd', CAST(o_orderkey % 4 AS INTEGER) + 1, 1) AS top, CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_orderkey % 40 = 22 THEN 2 ELSE 1 END AS dev, o_orderstatus AS head FROM orders),
+f AS (SELECT top || '/' || (k % 40) AS dir, CASE WHEN k % 90 = 7 THEN 'm7' ELSE 'f' || k END AS name, max(size) AS size, max(dev) AS dev, max(head) AS head FROM o GROUP BY ALL),
+e AS (SELECT dir || '/' || name AS path, dir, name, 'file' AS kind, size, dev, head FROM f UNION ALL SELECT DISTINCT top || '/' || (k % 40), top, CAST(k % 40 AS VARCHAR), 'dir', 0, dev, NULL FROM o),
+mk AS (SELECT DISTINCT dir FROM e WHERE name = 'm7' AND kind = 'file' AND head = 'F'),
+w AS (SELECT *, CASE WHEN path LIKE '/b/%3' AND path NOT LIKE '/b/%/%' AND path <> '/b/13' THEN 'pattern' WHEN kind = 'file' AND size > 180000 THEN 'too large' WHEN dir IN (SELECT dir FROM mk) AND name <> 'm7' THEN 'beside a marker' WHEN kind = 'file' AND dev <> 1 THEN 'other file system' END AS reason FROM e),
+st AS (SELECT path FROM w WHERE kind = 'dir' AND (reason IS NOT NULL OR dev <> 1)),
+r AS (SELECT path, reason, dir NOT IN (SELECT path FROM st) AS seen FROM w)"""
+
+
+@query("backup_exclude", f"WITH {_TREE} SELECT path, reason, seen AND reason IS NULL AS taken, seen AND reason IS NOT NULL AS topmost FROM r")
+def _(t):
+    return exclude.walk(_tree(t), RULES).select("path", "reason", "taken", "topmost")
+
+
+@query("commit_gate_trees", """
+WITH m AS (SELECT id, modified FROM mark WHERE id % 2 = 0), tr AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 9 <> 0)
+SELECT m.id AS tree, CASE WHEN tr.id IS NULL THEN 'tree is gone' ELSE 'not touched since its mark' END AS why FROM m LEFT JOIN tr USING (id) LEFT JOIN touch t ON t.id = m.id WHERE tr.id IS NULL OR t.id IS NULL OR t.modified < m.modified""")
+def _(t):
+    marks = t.marks().where("id % 2 = 0")
+    return diff.commit_gate_trees(marks.select(F.col("id").alias("node")), marks, t.raw("orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id")), t.touches())
+
+
+@query("schedule_next_due", "WITH d AS (SELECT repo, CASE job WHEN 'click' THEN 'prune' WHEN 'view' THEN 'forget' ELSE 'backup' END AS job, date_trunc('day', started) AS dd FROM job WHERE id % 5 = 0) SELECT repo, min({'at': dd, 'r': CASE job WHEN 'backup' THEN 1 WHEN 'forget' THEN 2 ELSE 3 END, 'j': job}).j AS job, CAST(min(dd) AS TIMESTAMP) AS \"at\" FROM d GROUP BY repo")
+def _(t):
+    job = F.when(F.col("job") == "click", "prune").when(F.col("job") == "view", "forget").otherwise("backup")
+    due = t.jobs().where("id % 5 = 0").select("repo", job.alias("job"), F.date_trunc("day", "started").alias("at"))
+    return schedule.next_due(due).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("chunk_lists", """
+WITH x AS (SELECT l_orderkey AS file, l_orderkey % 2 AS content, list(l_partkey ORDER BY l_partkey, l_linenumber) AS chunks FROM lineitem GROUP BY l_orderkey), l AS (SELECT p_partkey AS list, [p_partkey * 10, p_partkey * 10 + 1] AS chunks FROM part),
+a AS (SELECT file, content, unnest(chunks) AS id, unnest(range(len(chunks))) AS ps FROM x), i AS (SELECT list AS id, unnest(chunks) AS chunk, unnest(range(2)) AS sub FROM l),
+b AS (SELECT file, ps, 0 AS sub, id AS chunk FROM a WHERE content = 0 UNION ALL SELECT file, ps, sub, chunk FROM a JOIN i USING (id) WHERE content = 1)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY ps, sub) - 1 AS INTEGER) AS pos, chunk FROM b""")
+def _(t):
+    files = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))).alias("c"))
+    files = files.select("file", (F.col("file") % 2).alias("content"), F.col("c.l_partkey").alias("chunks"))
+    return restore.chunk_lists(files, t.raw("part").select(F.col("p_partkey").alias("list"), F.array(F.col("p_partkey") * 10, F.col("p_partkey") * 10 + 1).alias("chunks")))
+
+
+@query("restore_plan", f"""WITH {_PATH}, {_PREFIX}, ent AS (SELECT DISTINCT pre AS path, CASE WHEN max(n) OVER (PARTITION BY page_id) = n THEN 'file' ELSE 'dir' END AS kind FROM px), once AS (SELECT path, min(kind) AS kind FROM ent GROUP BY path),
+ep AS (SELECT path, kind, n, '/' || array_to_string(list_slice(string_split(substr(path, 2), '/'), 1, n), '/') AS pre FROM (SELECT path, kind, unnest(range(1, len(string_split(substr(path, 2), '/')) + 1)) AS n FROM once)),
+tk AS (SELECT path, kind FROM (SELECT path, kind, n, {_decision_sql(INCLUDE, 'pre')} AS d, {_decision_sql(EXCLUDE, 'pre')} AS x FROM ep) GROUP BY path, kind HAVING coalesce(arg_max(d, n) FILTER (d IS NOT NULL), false) AND NOT bool_or(coalesce(x, false)))
+SELECT path, kind FROM once WHERE path IN (SELECT path FROM tk) OR (kind = 'dir' AND EXISTS (SELECT 1 FROM tk WHERE starts_with(tk.path, once.path || '/')))""")
+def _(t):
+    p = _paths(t)
+    every = p.select(F.posexplode(P.prefixes(F.col("path"))).alias("at", "pre"), "path")
+    entries = every.select(F.col("pre").alias("path"), F.when(F.col("pre") == F.col("path"), "file").otherwise("dir").alias("kind")).groupBy("path").agg(F.min("kind").alias("kind"))
+    return restore.plan(entries, INCLUDE, EXCLUDE).select("path", "kind")

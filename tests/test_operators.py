@@ -232,3 +232,15 @@ def test_resolve(spark):
     for bad in ("2024", "1999"):
         with pytest.raises(LookupError):
             snapshots.resolve(s, bad)
+
+
+def test_exclusion(spark):
+    from tessella.operators import exclude
+
+    rows = [("/a", "/", "a", "dir", 0, 1, None), ("/a/CACHEDIR.TAG", "/a", "CACHEDIR.TAG", "file", 50, 1, exclude.CACHE_SIGNATURE + b"\n"), ("/a/x", "/a", "x", "file", 5, 1, None), ("/a/sub", "/a", "sub", "dir", 0, 1, None), ("/a/sub/y", "/a/sub", "y", "file", 5, 1, None),
+            ("/b", "/", "b", "dir", 0, 1, None), ("/b/CACHEDIR.TAG", "/b", "CACHEDIR.TAG", "file", 5, 1, b"no"), ("/b/big", "/b", "big", "file", 100, 1, None), ("/b/even", "/b", "even", "file", 99, 1, None), ("/mnt", "/", "mnt", "dir", 0, 2, None), ("/mnt/z", "/mnt", "z", "file", 1, 2, None), ("/b/named.o", "/b", "named.o", "file", 1, 1, None), ("/b/other.o", "/b", "other.o", "file", 1, 1, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "path string, dir string, name string, kind string, size long, dev int, head binary, root_dev int")
+    rules = exclude.Rules(patterns=["*.o"], larger_than=99, markers={exclude.CACHE_TAG: exclude.CACHE_SIGNATURE}, one_file_system=True)
+    got = {r["path"]: (r["taken"], r["topmost"]) for r in exclude.walk(df, rules, spark.createDataFrame([("/b/named.o",)], "path string")).collect()}
+    assert {p for p, (t, _) in got.items() if t} == {"/a", "/a/CACHEDIR.TAG", "/b", "/b/CACHEDIR.TAG", "/b/even", "/mnt", "/b/named.o"}
+    assert {p for p, (_, t) in got.items() if t} == {"/a/x", "/a/sub", "/b/big", "/b/other.o"}

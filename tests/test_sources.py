@@ -91,3 +91,21 @@ def test_index_refresh(spark, tmp_path):
 def test_schemas(spark):
     for name in ("OBJECTS", "SNAPSHOTS", "TREE_ENTRIES", "PACK_ENTRIES", "INDEX_BLOBS", "MARKS", "PARITY", "JOBS"):
         assert StructType.fromDDL(getattr(schemas, name)).fieldNames()
+
+
+def test_config():
+    from tessella.sources import config
+
+    c = config.load('[repository]\nlocation = "s3://b/x"\n[backup]\nsources = ["/srv"]\nexclude = ["*.o"]\nexclude_larger_than = "2m"\nschedule = "0 3 * * *"\n[forget]\nlast = 2\nwithin = "3d"\n[prune]\ngrace = "1d"\n')
+    assert c.location == ("s3", "b/x") and c.larger_than == 2 << 20 and c.policy.within_seconds == 3 * 86400 and c.grace_seconds == 86400 and set(c.jobs) == {"backup"}
+    for bad in ("[other]\nx = 1", "[backup]\nsources = []", '[repository]\nlocation = "s3://b"\n[backup]\nsources = ["a"]\ncolour = 1', '[repository]\nlocation = "s3://b"\n[backup]\nsources = ["a"]\nexclude = ["[a"]', '[repository]\nlocation = ""\n[backup]\nsources = ["a"]', '[repository]\nlocation = "s3://b"\n[backup]\nsources = ["a"]\n[forget]\nlast = 0'):
+        with pytest.raises(config.ConfigError):
+            config.load(bad)
+    assert config.state_name("") == "cbf29ce484222325" and config.state_name("a") == "af63dc4c8601ec8c"
+
+
+def test_pack_trailers(spark):
+    body = b"x" * 30
+    good, cut = body + b"t" * 5 + (30).to_bytes(8, "big") + (5).to_bytes(8, "big"), body + (30).to_bytes(8, "big") + (5).to_bytes(8, "big")
+    df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(cut))], "key string, content binary")
+    assert [(r["key"], int(r["trailer_offset"]), int(r["trailer_length"]), r["complete"]) for r in objects.pack_trailers(df).orderBy("key").collect()] == [("a", 30, 5, True), ("b", 30, 5, False)]
