@@ -106,6 +106,24 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _alternate(hit: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Of each run of overlapping occurrences every other one, from the left."""
+    out, rest = np.zeros(len(hit), bool), hit.copy()
+    for _ in range(rounds):
+        first = rest.copy()
+        first[1:] &= ~rest[:-1]
+        if not first.any():
+            return out
+        out |= first
+        rest &= ~first
+        rest[1:] &= ~first[:-1]
+    at = np.flatnonzero(rest)  # what is left of long runs begins at an occurrence that counts
+    if len(at):
+        lead = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), np.arange(len(at)), 0))
+        out[at[(np.arange(len(at)) - lead) % 2 == 0]] = True
+    return out
+
+
 def repair(symbols: np.ndarray, end: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, limit: int = SYMBOLS):
     """(symbols, rules, first rule of each round and one more). ``end`` closes a document and is in no pair; nonterminals count from end + 1."""
     seq, rules, starts = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), [0]
@@ -126,28 +144,21 @@ def repair(symbols: np.ndarray, end: int, rounds: int = ROUNDS, min_count: int =
         if len(pair) > room:
             best = np.sort(np.argsort(-count, kind="stable")[:room])
             pair = pair[best]
-        # Which positions have a chosen pair: by a table of hashes, then by comparison for those that meet in one slot.
+        # Which positions have a chosen pair: by a table of hashes, then by comparison. A pair whose slot went to another waits for the next round.
         slots = np.zeros(1 << 20, np.uint32)
-        mult = np.uint32(0x9E3779B1)
-        slot_of = lambda c: (c * mult) >> np.uint32(12)
-        slots[slot_of(pair)] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        at = slots[slot_of(code)]
-        hit = np.flatnonzero(at)
-        hit = hit[pair[at[hit] - 1] == code[hit]]
-        lost = np.flatnonzero(slots[slot_of(pair)] != np.arange(1, len(pair) + 1))
-        pair_kept = np.delete(pair, lost)  # a pair whose slot went to another waits for the next round
-        remap = np.cumsum(np.isin(np.arange(len(pair)), lost, invert=True)) - 1
-        if not len(hit):
-            break
-        # Of overlapping occurrences every other one counts, from the left.
-        run = np.concatenate([[True], np.diff(hit) > 1])
-        first = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - first) % 2 == 0]
-        seq[hit] = end + 1 + len(rules) + remap[at[hit] - 1]
+        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(12)
+        slots[slot] = np.arange(1, len(pair) + 1, dtype=np.uint32)
+        held = slots[slot] == np.arange(1, len(pair) + 1)
+        pair = pair[held]
+        slots[:] = 0
+        slots[slot[held]] = np.arange(1, len(pair) + 1, dtype=np.uint32)
+        at = slots[(code * np.uint32(0x9E3779B1)) >> np.uint32(12)]
+        chosen = _alternate((np.append(np.uint32(0xFFFFFFFF), pair)[at] == code) & (at > 0))
+        np.copyto(seq[:-1], at + np.uint32(end + len(rules)), where=chosen)
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        np.logical_not(chosen, out=keep[1:])
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([pair_kept >> np.uint32(16), pair_kept & np.uint32(0xFFFF)], 1)])
+        rules = np.concatenate([rules, np.stack([pair >> np.uint32(16), pair & np.uint32(0xFFFF)], 1)])
         starts.append(len(rules))
     return seq, rules, starts
 
@@ -203,15 +214,15 @@ class Shard:
         """Symbols to ids, the end of a document as the end id. Rounds are undone from the last."""
         seq = seq.astype(np.uint32)
         for a in reversed(self.starts[:-1]):
-            rule = seq.astype(np.int64) - (self.end + 1 + a)
-            made = rule >= 0
+            low = np.uint32(self.end + 1 + a)
+            made = seq >= low
             if made.any():
-                at = np.cumsum(1 + made) - (1 + made)
-                out = np.empty(len(seq) + int(made.sum()), np.uint32)
-                pair = self.rules[a + rule[made]]
-                out[at[~made]] = seq[~made]
-                out[at[made]] = pair[:, 0]
-                out[at[made] + 1] = pair[:, 1]
+                out = np.repeat(seq, 1 + made)
+                at = np.flatnonzero(made)
+                at = at + np.arange(len(at))
+                pair = self.rules[seq[made] - np.uint32(self.end + 1)]
+                out[at] = pair[:, 0]
+                out[at + 1] = pair[:, 1]
                 seq = out
         return np.where(seq == self.end, np.uint32(self.end_id), seq).astype("<u4")
 
