@@ -117,6 +117,11 @@ class Vocabulary:
     def _codes(self, words: list[str]) -> list[bytes]:
         return [array("I", self.search([SPACE + w])).tobytes() for w in words]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        once = list(dict.fromkeys(words))
+        codes = dict(zip(once, self.known(once)))
+        return [codes[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         out = [b""] * len(texts)
@@ -127,7 +132,7 @@ class Vocabulary:
             if not self.apart or "  " in t or t[0] == " " or t[-1] == " " or SPACE in t:
                 marked = SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)
                 if self.apart:
-                    out[k] = b"".join(self.known([run[1:] for run in CHUNK.findall(marked)]))
+                    out[k] = b"".join(self._each([run[1:] for run in CHUNK.findall(marked)]))
                 else:
                     out[k] = self._codes([marked[1:]])[0]
             else:

@@ -44,7 +44,7 @@ MIN_COUNT = 8
 #: Symbols stay below 2^16: vocabulary, the end of a document, nonterminals.
 SYMBOLS = 1 << 16
 #: Characters over which every reading of the pre-tokenizer's classes agrees: ASCII, and Latin letters and signs.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ]*")
+PLAIN = r"\t\n\r\x20-\x7e¡-¬®-ɏ"
 
 
 class Encoder:
@@ -56,9 +56,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # Where white space follows a space, or a special token stands, a text isn't cut at its spaces.
-        self.apart = ["  ", " \t", " \n", " \r", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.known = Remembered(self._words)
+        # Texts with other characters, with white space or the end after a space, or with a special token's text aren't cut into words.
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = f"[^{PLAIN}]| [ \\t\\n\\r]| $" + (f"|{special}" if special else "")
+        self.known = Remembered(self._words, longest=11)
         names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.spaced = np.array([w.startswith("\u0120") for w, _ in names])  # the byte-level name of a space
 
@@ -79,20 +80,17 @@ class Encoder:
         return [out.get(w, b"") for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = [k for k, t in enumerate(texts) if t and PLAIN.fullmatch(t) and not t.endswith(" ") and not any(x in t for x in self.apart)]
-        odd = [k for k in sorted(set(range(len(texts))) - set(plain)) if texts[k]]
-        for k, got in zip(odd, self._library([texts[k] for k in odd])):
-            out[k] = got
-        if plain:
-            for k, code in zip(plain, by_parts(cut([texts[k] for k in plain]), self.known)):
-                out[k] = code
-        return out
-
-
-def cut(texts: list[str]) -> pa.ListArray:
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, self.whole)
+        out = dict(zip(np.flatnonzero(whole).tolist(), self._library(column.filter(whole).to_pylist())))
+        plain = pc.invert(whole)
+        out.update(zip(np.flatnonzero(plain).tolist(), by_parts(cut(column.filter(plain)), self.known)))
+        return [out[k] for k in range(len(texts))]
+
+
+def cut(texts: pa.LargeStringArray) -> pa.ListArray:
     """Texts of ``PLAIN`` characters cut before their spaces, and between a letter or digit and what follows it that is neither: no token spans these."""
-    marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([\pL\pN])([^\s\pL\pN]|[\t\n\r])", "\\1\x00\\2")
+    marked = pc.replace_substring_regex(texts, r"([\pL\pN])([^\s\pL\pN]|[\t\n\r])", "\\1\x00\\2")
     return pc.split_pattern(pc.replace_substring(marked, " ", "\x00 "), "\x00")
 
 

@@ -40,20 +40,30 @@ def in_batches(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], step
 
 class Remembered:
     """Codes of words, computed for those not seen lately. Two generations of at most ``limit`` words (and one batch) bound the memory;
-    words still in use move to the younger one."""
+    words still in use move to the younger one. Words above ``longest`` characters, which seldom come again, are computed each time."""
 
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 300_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int = 300_000, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, words: list[str]) -> list[bytes]:
+        """``words`` are distinct."""
         young, old = self.young, self.old
-        seen = {w: old[w] for w in words if w not in young and w in old}
-        young.update(seen)
-        new = list(dict.fromkeys(w for w in words if w not in young))
-        young.update(zip(new, self.compute(new)))
-        out = [young[w] for w in words]
+        out = list(map(young.get, words))
+        at = [k for k, code in enumerate(out) if code is None]
+        if at:
+            new = []
+            for k in at:
+                code = old.get(words[k])
+                if code is None:
+                    new.append(k)
+                else:
+                    out[k] = code
+            for k, code in zip(new, self.compute([words[k] for k in new])):
+                out[k] = code
+            longest = self.longest
+            young.update((words[k], out[k]) for k in at if len(words[k]) <= longest)
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
