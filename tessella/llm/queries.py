@@ -7,7 +7,7 @@ from .pieces import op10_pieces
 from .pii import op9_pii
 from .quality import op6_quality
 from .simhash import op3_simhash
-from .suffix_dedup import op1_suffix_dedup
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 from .token_files import op7_token_files
 from .token_windows import OP5_SQL, op5_token_windows
 from .toxicity import op2_toxicity
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_pieces": op10_pieces,
 }
 ORACLES = {
+    "op1_suffix_dedup": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
     "op5_token_windows": OP5_SQL,
     "op8_url_filter": OP8_SQL,
