@@ -37,7 +37,7 @@ from .words import Remembered, by_parts, in_batches
 
 MAGIC = b"TESSRP01"
 END_ID = 2
-SHARD_TOKENS = 3 << 20
+SHARD_TOKENS = 2 << 20
 PARTITION_BYTES = 24 << 20
 ROUNDS = 2
 MIN_COUNT = 8
