@@ -1,12 +1,14 @@
-"""Toxicity by compression distance: two zstandard dictionaries, and how much better the toxic one packs a text's windows.
+"""Toxicity by compression distance: zstandard dictionaries, and how much better the toxic ones pack a text's windows.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on what marks toxic texts: their words without those
-that ordinary texts use nearly as often (near copies of a text count once). A window is compressed with the ordinary dictionary alone and
-with both; what the toxic one adds shows as bytes saved, and other windows save nothing, so noise is small. A text's figures (mean saving,
-how many windows save 1, 2, 3, 4, 6 bytes, the sum, the number of windows) go through a logistic calibration fitted on the same rows.
+The ordinary dictionary is trained on windows of ordinary texts. The toxic ones hold what marks toxic texts: words that ordinary texts use much
+less often (near copies of a text count once). One is trained on those that a good share of all toxic texts have; the other lists every word whose
+surplus is significant, however small its share, so that a language or kind with few labels has entries too (the most significant last, up to
+``RARE_BYTES``). A window is compressed with the ordinary dictionary alone and with each toxic one behind it; what that adds shows as bytes saved.
+A text's figures for each (mean saving, how many windows save 1, 2, 3, 4, 6 bytes, the sum) and the number of windows go through a logistic
+calibration fitted on the same rows.
 
 Fitting uses a bounded sample of labelled rows, ``max_rows`` of those not held out with the lowest id hashes, and at most ``max_chars`` of each
-text; scoring covers every window of every whole text. The model is some 35 KB and goes to the executors with the function.
+text; scoring covers every window of every whole text. The model is some 40 KB and goes to the executors with the function.
 
 Defined cases: null texts count as empty, an empty text is one empty window; without both kinds of labels every score is the
 share of toxic labels (0 without labels); repeated rows score alike; a null id is held out and never learned from; other
@@ -15,6 +17,7 @@ columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -34,6 +37,12 @@ TOXIC_BYTES = 512
 #: A word marks toxic texts if its share of them is so many times its share of ordinary ones, and at least ``MARK_SHARE``.
 MARK_RATIO = 8
 MARK_SHARE = 0.03
+#: Words of the second list: in so many kinds of toxic texts at least, and so improbable if label and word were independent (one-sided).
+RARE_COUNT = 3
+SIGNIFICANCE = 1e-3
+RARE_BYTES = 4096
+#: The shortest match that counts against the second list: parts of its words are parts of ordinary ones too.
+RARE_MATCH = 6
 MAX_ROWS = 6000
 MAX_CHARS = 20_000
 STEPS = (1, 2, 3, 4, 6)
@@ -43,6 +52,7 @@ STEPS = (1, 2, 3, 4, 6)
 class Model:
     ordinary: bytes
     toxic: bytes
+    rare: bytes
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
@@ -51,10 +61,10 @@ class Model:
     def scorer(self):
         if not len(self.weight):
             return lambda text: self.base
-        plain, both = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        measure = _measure(self.ordinary, self.toxic, self.rare)
 
         def score(text: bytes) -> float:
-            x = (figures(text, plain, both) - self.mean) / self.scale
+            x = (measure(text) - self.mean) / self.scale
             return float(1 / (1 + np.exp(-np.clip(self.weight[0] + x @ self.weight[1:], -30, 30))))
 
         return score
@@ -66,6 +76,21 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
 
 
+def _coarse_compressor(content: bytes):
+    """One that takes no match below ``RARE_MATCH`` bytes."""
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=RARE_MATCH, write_content_size=False, write_dict_id=False)
+    d.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
+
+
+def _measure(ordinary: bytes, toxic: bytes, rare: bytes):
+    """A text's figures against both toxic dictionaries."""
+    fine = _compressor(ordinary), _compressor(ordinary + toxic)
+    coarse = _coarse_compressor(ordinary), _coarse_compressor(ordinary + rare)
+    return lambda text: np.concatenate([figures(text, *fine), figures(text, *coarse)[:-1]])
+
+
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [text[i:i + size] for i in range(0, len(text), size)] or [b""]
 
@@ -118,20 +143,38 @@ def _spread(texts: list[bytes]) -> tuple[Counter, int]:
     return having, len(groups)
 
 
+def _tail(c: int, n: int, share: float) -> float:
+    """The probability of ``c`` or more of ``n`` at ``share`` each."""
+    k = np.arange(c, n + 1)
+    lg = np.frompyfunc(math.lgamma, 1, 1)
+    return float(np.exp((math.lgamma(n + 1) - lg(k + 1.0) - lg(n - k + 1.0)).astype(float) + k * math.log(share) + (n - k) * math.log1p(-share)).sum())
+
+
+def _rare(in_bad: Counter, n_bad: int, in_good: Counter, n_good: int) -> bytes:
+    """The words with a significant surplus in toxic texts, the most significant last."""
+    share, found = n_bad / (n_bad + n_good), []
+    for w, c in in_bad.items():
+        g = in_good.get(w, 0)
+        if len(w) > 2 and c >= RARE_COUNT and c / n_bad >= MARK_RATIO * (g + 1) / (n_good + 1) and (p := _tail(c, c + g, share)) <= SIGNIFICANCE:
+            found.append((-p, w))
+    return (b" " + b" ".join(w for _, w in sorted(found)) + b" ")[-RARE_BYTES:] if found else b""
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """From (text, label) pairs; deterministic for their order."""
     texts, labels = [t.lower().encode() for t, _ in rows], np.array([y for _, y in rows], float)
     base = float(labels.mean()) if len(labels) else 0.0
     bad, good = (list(dict.fromkeys(t for t, y in zip(texts, labels) if y == k)) for k in (1, 0))
     if not bad or not good:
-        return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), base)
+        return Model(b"", b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), base)
     (in_bad, n_bad), (in_good, n_good) = _spread(bad), _spread(good)
     marks = {w for w, c in in_bad.items() if len(w) > 2 and c >= max(2, MARK_SHARE * n_bad) and c / n_bad >= MARK_RATIO * (in_good.get(w, 0) + 1) / (n_good + 1)}
     samples = [b" " + s + b" " for s in (b" ".join(w for w in t.split() if w in marks) for t in bad) if s]
     ordinary = _dictionary(ORDINARY_BYTES, [w for t in good for w in windows(t)][:40_000])
     toxic = _dictionary(TOXIC_BYTES, samples) if samples else b""
-    plain, both = _compressor(ordinary), _compressor(ordinary + toxic)
-    x = np.array([figures(t, plain, both) for t in texts])
+    rare = _rare(in_bad, n_bad, in_good, n_good)
+    measure = _measure(ordinary, toxic, rare)
+    x = np.array([measure(t) for t in texts])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w = np.zeros(x.shape[1])
@@ -141,7 +184,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return Model(ordinary, toxic, mean, scale, w, base)
+    return Model(ordinary, toxic, rare, mean, scale, w, base)
 
 
 def held_out(ident: Column) -> Column:

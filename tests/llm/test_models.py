@@ -146,3 +146,22 @@ def test_toxicity_cases(spark, docs, empty, pairs):
     assert toxicity.with_score(empty.drop("score"), model).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.with_score(docs.drop("score"), toxicity.learn(docs, none)).collect()} == {0.0}
+
+
+def test_toxic_words_of_a_rare_language_have_entries():
+    import random
+
+    r = random.Random(5)
+    words = [["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(400)] for letters in ("abcdefghilmno", "prstuvwxyzáé")]
+    marks = [["idiot", "moron", "stupid", "clown"], ["bométei", "zúrrapo"]]
+
+    def text(k, bad):
+        return " ".join(r.choice(marks[k]) if bad and r.random() < 0.15 else r.choice(words[k]) for _ in range(80))
+
+    rows = [(text(0, True), 1) for _ in range(300)] + [(text(1, True), 1) for _ in range(7)] + [(text(k, False), 0) for k in (0, 1) for _ in range(600)]
+    model = toxicity.fit(rows)
+    held = b"".join(v for v in vars(model).values() if isinstance(v, bytes) and v is not model.ordinary)
+    assert all(w.encode() in held for w in marks[1])
+    score = model.scorer()
+    said = [[score(text(1, bad).encode()) >= 0.5 for _ in range(30)] for bad in (True, False)]
+    assert sum(said[0]) >= 25 and sum(said[1]) <= 3
