@@ -2,11 +2,11 @@
 
 Documents are encoded with a ``tokenizers`` file, each closed by an end id, and written in ascending id order: range partitioning
 by id gives every task a run of ids, which it cuts into shards of at most ``SHARD_TOKENS``. Within a shard, frequent pairs of neighbouring
-symbols are replaced by nonterminals in rounds, all pairs of at least ``MIN_COUNT`` occurrences at once, most frequent first
-where they overlap in a run. No pair spans two documents, so that each document is a run of symbols of its own.
+symbols are replaced by nonterminals in rounds, all pairs of at least ``MIN_COUNT`` occurrences at once, from the left
+where they overlap in a run, until no pair is so frequent. No pair spans two documents, so that each document is a run of symbols of its own.
 
 A shard file holds the rules, the expansion length of each, where each document's symbols and tokens begin, and the symbols; with
-these, one document, or a slice of it, is decoded without the rest (``Shard.document``). Files are written under a temporary
+these (16 bits of each, and apart from them the bits above, as many as the rules need), one document, or a slice of it, is decoded without the rest (``Shard.document``). Files are written under a temporary
 name and renamed, named by task and number, so that a task that runs again replaces its own.
 
 Encoding looks words up in a dictionary that the tokenizers library fills: the byte-level pre-tokenizer never joins text across the front of a space that
@@ -39,10 +39,7 @@ MAGIC = b"TESSRP01"
 END_ID = 2
 SHARD_TOKENS = 2 << 20
 PARTITION_BYTES = 24 << 20
-ROUNDS = 2
 MIN_COUNT = 8
-#: Symbols stay below 2^16: vocabulary, the end of a document, nonterminals.
-SYMBOLS = 1 << 16
 #: Characters over which every reading of the pre-tokenizer's classes agrees: ASCII, and Latin letters and signs.
 PLAIN = r"\t\n\r\x20-\x7e¡-¬®-ɏ"
 
@@ -122,41 +119,39 @@ def _alternate(hit: np.ndarray, rounds: int = 6) -> np.ndarray:
     return out
 
 
-def repair(symbols: np.ndarray, end: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, limit: int = SYMBOLS):
+def repair(symbols: np.ndarray, end: int, min_count: int = MIN_COUNT):
     """(symbols, rules, first rule of each round and one more). ``end`` closes a document and is in no pair; nonterminals count from end + 1."""
     seq, rules, starts = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), [0]
-    for left in range(rounds, 0, -1):
-        room = (limit - end - 1 - len(rules)) // left if limit - end - 1 > len(rules) else 0
-        if len(seq) < 2 or not room:
-            break
-        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+    while len(seq) > 1:
+        # A pair as one number: of 32 bits while symbols have 16. end itself is below the largest symbol, so the largest number is no pair.
+        kind, half, odd = (np.uint32, 16, 0x9E3779B1) if end + len(rules) < 0xFFFF else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        code = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
+        none = np.iinfo(kind).max
         closing = seq == end
-        code[closing[:-1] | closing[1:]] = 0xFFFFFFFF  # no pair: end itself is below 2^16 - 1
-        ordered = np.sort(code)
-        edge = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
-        pair, count = ordered[edge[:-1]], np.diff(edge)
-        ok = (count >= min_count) & (pair != 0xFFFFFFFF)
+        code[closing[:-1] | closing[1:]] = none
+        slot = ((code * kind(odd)) >> kind(2 * half - 20)).astype(np.int32)
+        # A pair is at most as frequent as its slot of the hash, so only pairs of frequent slots are counted.
+        some = code[(np.bincount(slot, minlength=1 << 20) >= min_count)[slot]]
+        pair, count = np.unique(some, return_counts=True)
+        ok = (count >= min_count) & (pair != none)
         pair, count = pair[ok], count[ok]
         if not len(pair):
             break
-        if len(pair) > room:
-            best = np.sort(np.argsort(-count, kind="stable")[:room])
-            pair = pair[best]
-        # Which positions have a chosen pair: by a table of hashes, then by comparison. A pair whose slot went to another waits for the next round.
+        # Which positions have a chosen pair: by a table of the slots, then by comparison. A pair whose slot went to another waits for the next round.
         slots = np.zeros(1 << 20, np.uint32)
-        slot = (pair * np.uint32(0x9E3779B1)) >> np.uint32(12)
-        slots[slot] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        held = slots[slot] == np.arange(1, len(pair) + 1)
+        at = ((pair * kind(odd)) >> kind(2 * half - 20)).astype(np.int32)
+        slots[at] = np.arange(1, len(pair) + 1, dtype=np.uint32)
+        held = slots[at] == np.arange(1, len(pair) + 1)
         pair = pair[held]
         slots[:] = 0
-        slots[slot[held]] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        at = slots[(code * np.uint32(0x9E3779B1)) >> np.uint32(12)]
-        chosen = _alternate((np.append(np.uint32(0xFFFFFFFF), pair)[at] == code) & (at > 0))
+        slots[at[held]] = np.arange(1, len(pair) + 1, dtype=np.uint32)
+        at = slots[slot]
+        chosen = _alternate((np.append(kind(none), pair)[at] == code) & (at > 0))
         np.copyto(seq[:-1], at + np.uint32(end + len(rules)), where=chosen)
         keep = np.ones(len(seq), bool)
         np.logical_not(chosen, out=keep[1:])
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([pair >> np.uint32(16), pair & np.uint32(0xFFFF)], 1)])
+        rules = np.concatenate([rules, np.stack([pair >> kind(half), pair & kind((1 << half) - 1)], 1).astype(np.uint32)])
         starts.append(len(rules))
     return seq, rules, starts
 
@@ -168,6 +163,12 @@ def expansion_lengths(rules: np.ndarray, starts: list[int], end: int) -> np.ndar
     return size[end + 1:]
 
 
+def _split(symbols: np.ndarray, high: int) -> bytes:
+    """16 bits of each, then the ``high`` bits above."""
+    above = (symbols[:, None] >> np.arange(16, 16 + high, dtype=np.uint32)[None, :]).astype("u1") & 1
+    return symbols.astype("<u2").tobytes() + np.packbits(above).tobytes()
+
+
 def pack_shard(ids: list, documents: list[bytes], vocabulary: int, end_id: int = END_ID) -> bytes:
     """A shard file's bytes. ``documents``: each one's ids as little-endian 32-bit integers, without the end id."""
     end = vocabulary
@@ -176,21 +177,23 @@ def pack_shard(ids: list, documents: list[bytes], vocabulary: int, end_id: int =
     seq, rules, starts = repair(tokens, end)
     sizes = expansion_lengths(rules, starts, end)
     closing = np.flatnonzero(seq == end)
-    head = struct.pack("<8sIIIIQQQ", MAGIC, 1, end_id, end, len(starts) - 1, len(rules), len(documents), len(seq))
+    high = max(0, int(end + len(rules)).bit_length() - 16)
+    wide = next(w for w in (1, 2, 4) if not len(sizes) or sizes.max() < 1 << 8 * w)
+    head = struct.pack("<8sIIIIIIQQQ", MAGIC, 2, end_id, end, len(starts) - 1, len(rules), high, wide, len(documents), len(seq))
     return b"".join([
-        head, np.array(starts, "<u4").tobytes(), rules.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
+        head, np.array(starts, "<u4").tobytes(), _split(rules.reshape(-1), high), sizes.astype(f"<u{wide}").tobytes(),
         np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], "u1").tobytes(),
-        np.concatenate([[0], closing + 1]).astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<u8").tobytes(), seq.astype("<u2").tobytes()])
+        np.concatenate([[0], closing + 1]).astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<u8").tobytes(), _split(seq, high)])
 
 
 class Shard:
     """A shard file, read: ids, nulls, token_starts, and documents on demand."""
 
     def __init__(self, data: bytes):
-        magic, version, self.end_id, self.end, rounds, n_rules, n_docs, n_symbols = struct.unpack_from("<8sIIIIQQQ", data)
-        if magic != MAGIC or version != 1:
+        magic, version, self.end_id, self.end, rounds, n_rules, high, wide, n_docs, n_symbols = struct.unpack_from("<8sIIIIIIQQQ", data)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a shard of this format")
-        at = struct.calcsize("<8sIIIIQQQ")
+        at = struct.calcsize("<8sIIIIIIQQQ")
 
         def take(kind, n):
             nonlocal at
@@ -198,12 +201,20 @@ class Shard:
             at += got.nbytes
             return got
 
+        def joined(n):
+            out = take("<u2", n).astype(np.uint32)
+            if high:
+                bits = np.unpackbits(take("u1", -(-n * high // 8)), count=n * high).reshape(-1, high)
+                for k in range(high):
+                    out |= bits[:, k].astype(np.uint32) << np.uint32(16 + k)
+            return out
+
         self.starts = take("<u4", rounds + 1).tolist()
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
-        self.sizes = take("<u4", n_rules)
+        self.rules = joined(2 * n_rules).reshape(-1, 2)
+        self.sizes = take(f"<u{wide}", n_rules)
         self.ids, self.nulls = take("<i8", n_docs), take("u1", n_docs).astype(bool)
         self.symbol_starts, self.token_starts = take("<u8", n_docs + 1).astype(np.int64), take("<u8", n_docs + 1).astype(np.int64)
-        self.symbols = take("<u2", n_symbols)
+        self.symbols = joined(n_symbols)
 
     def __len__(self) -> int:
         return len(self.ids)

@@ -115,3 +115,17 @@ def test_ids_have_the_library_s_score_or_a_better_one(vocabulary):
         assert sum(map(other.get_score, mine)) >= sum(map(other.get_score, theirs))
         same += mine == theirs
     assert same > 0.9 * len(words)
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    r = np.random.default_rng(3)
+    one = r.integers(10, 50000, 1000).astype("<u4")
+    s = token_files.Shard(token_files.pack_shard(list(range(2000)), [one.tobytes()] * 2000, 50257))
+    assert len(s.symbols) == 4000 and (s.document(1999, 0, 1000) == one).all()
+    # More rules than symbols of 16 bits have room for.
+    pairs = r.permutation(40000)[:36000].astype("<u4").reshape(-1, 2)
+    docs = [p.tobytes() for p in pairs for _ in range(8)]
+    s = token_files.Shard(token_files.pack_shard(list(range(len(docs))), docs, 50257))
+    assert len(s.rules) == 18000 and len(s.symbols) == 2 * len(docs)
+    assert s.all().tobytes() == b"".join(d + np.array([2], "<u4").tobytes() for d in docs)
+
