@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, scratch, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "discard", "lower_ascii", "row_key", "scratch", "shared_dir", "table", "written"]
+__all__ = ["LOWER", "UPPER", "discard", "lower_ascii", "row_key", "scratch", "shared_dir", "spread_text", "table", "written"]
 
 #: The only letters that the operators lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,3 +27,11 @@ def lower_ascii(text: Column) -> Column:
 def row_key(ident: Column, text: Column) -> Column:
     """What names a row in joins: its id, and its text's hash so that repeated ids don't mix texts. Never null."""
     return F.struct(ident.alias("id"), F.xxhash64(text).alias("h"))
+
+
+def spread_text(text: Column, chars: int, parts: int = 20) -> Column:
+    """A text of at most ``chars`` characters; of a longer one, pieces spread evenly over the whole, joined by spaces. Null is empty."""
+    t, size = F.coalesce(text.cast("string"), F.lit("")), chars // parts
+    room = F.length(t) - size
+    some = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substr(t, F.floor(k * room / (parts - 1)).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(t) <= chars, t).otherwise(F.array_join(some, " "))

@@ -1,190 +1,222 @@
-"""Toxicity by compression distance: zstandard dictionaries, and how much better the toxic ones pack a text's windows.
+"""Toxicity by compression distance: a zstandard dictionary of toxic text and one of ordinary text, compared window by window.
 
-The ordinary dictionary is trained on windows of ordinary texts. The toxic ones hold what marks toxic texts: words that ordinary texts use much
-less often (near copies of a text count once). One is trained on those that a good share of all toxic texts have; the other lists every word whose
-surplus is significant, however small its share, so that a language or kind with few labels has entries too (the most significant last, up to
-``RARE_BYTES``). A window is compressed with the ordinary dictionary alone and with each toxic one behind it; what that adds shows as bytes saved.
-A text's figures for each (mean saving, how many windows save 1, 2, 3, 4, 6 bytes, the sum) and the number of windows go through a logistic
-calibration fitted on the same rows.
+The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on toxic texts too, but on those passages only that
+ordinary texts lack: runs of ``GRAM``-byte strings whose share of the toxic texts (near copies counted once) is ``SURPLUS`` times their share of the ordinary ones, and
+improbable if label and string were independent. A toxic text is mostly ordinary text, so a dictionary of all its windows holds what both
+kinds share. A window is compressed behind the ordinary dictionary, and behind the toxic one followed by the same ordinary
+one, so that what both kinds share cancels out; the difference of the two lengths tells how much of the window only toxic text explains.
 
-Fitting uses a bounded sample of labelled rows, ``max_rows`` of those not held out with the lowest id hashes, and at most ``max_chars`` of each
-text; scoring covers every window of every whole text. The model is some 40 KB and goes to the executors with the function.
+Calibration is by inner folds: each labelled text is measured with dictionaries that were trained on the other folds. The histograms of these
+differences, of toxic and of ordinary texts, give each length difference its log-likelihood ratio; a text's is the sum over its windows, and
+a two-weight logistic fit to the out-of-fold sums (with the number of windows beside) turns it into a probability. The threshold of 0.5 is thus
+one on summed length differences.
+
+Fitting uses a bounded sample of labelled rows that aren't held out: ``max_rows`` of each label, those with the lowest hashes, and of each text at
+most ``max_chars`` characters, in pieces spread evenly over the whole of it; the fit weighs labels by how many there are. Scoring covers every window of every whole
+text. The model is some 40 KB and goes to the executors with the function.
 
 Defined cases: null texts count as empty, an empty text is one empty window; without both kinds of labels every score is the
-share of toxic labels (0 without labels); repeated rows score alike; a null id is held out and never learned from; other
-columns pass through.
+share of toxic labels (0 without labels); repeated rows score alike; a null id is held out and never learned from; very long texts are scored
+window by window in one pass; an empty table gives an empty table; other columns pass through, but one that has the name of the score gives way to it.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import spread_text, table
 
 WINDOW = 64
-LEVEL = 3
+#: Windows overlap, so that a short word at the edge of one stands whole in the next.
+STEP = 48
+STRATEGY = zstandard.STRATEGY_LAZY2
+SEARCH = 5
+#: The shortest match that a compressor takes: shorter ones stand everywhere.
+MATCH = 6
 ORDINARY_BYTES = 32768
-TOXIC_BYTES = 512
-#: A word marks toxic texts if its share of them is so many times its share of ordinary ones, and at least ``MARK_SHARE``.
-MARK_RATIO = 8
-MARK_SHARE = 0.03
-#: Words of the second list: in so many kinds of toxic texts at least, and so improbable if label and word were independent (one-sided).
-RARE_COUNT = 3
-SIGNIFICANCE = 1e-3
-RARE_BYTES = 4096
-#: The shortest match that counts against the second list: parts of its words are parts of ordinary ones too.
-RARE_MATCH = 6
-MAX_ROWS = 6000
-MAX_CHARS = 20_000
-STEPS = (1, 2, 3, 4, 6)
+#: The toxic dictionary has an eighth of its samples' bytes, within these bounds.
+TOXIC_BYTES = (512, 4096)
+#: The trainer's pieces, of the ordinary and of the toxic dictionary.
+SEGMENTS = (200, 64)
+GRAM = 8
+SURPLUS = 8
+LEAST_TEXTS = 4
+#: Natural logarithm of the probability bound below which a surplus counts.
+SIGNIFICANCE = -10.0
+MAX_ROWS = 3000
+MAX_CHARS = 8000
+FOLDS = 4
+#: Texts added to each length difference's count.
+PRIOR = 0.1
+#: Length differences beyond these count as these.
+LOWEST, HIGHEST = -8, 12
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    rare: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weight: np.ndarray
+    ratio: np.ndarray  # log-likelihood ratio of each length difference
+    weight: np.ndarray  # of one, the summed ratio, and the logarithm of the number of windows
     base: float
 
     def scorer(self):
         if not len(self.weight):
             return lambda text: self.base
-        measure = _measure(self.ordinary, self.toxic, self.rare)
+        differ = _differ(self.ordinary, self.toxic)
 
         def score(text: bytes) -> float:
-            x = (measure(text) - self.mean) / self.scale
-            return float(1 / (1 + np.exp(-np.clip(self.weight[0] + x @ self.weight[1:], -30, 30))))
+            d = differ(text)
+            z = self.weight @ np.array([1.0, self.ratio[d - LOWEST].sum(), np.log(len(d))])
+            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
 
 
-def _compressor(content: bytes):
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
-
+def normal(text: bytes) -> bytes:
+    """A-Z lower-cased, runs of ASCII white space as one space, one at either end."""
+    return b" " + b" ".join(text.lower().split()) + b" "
 
-def _coarse_compressor(content: bytes):
-    """One that takes no match below ``RARE_MATCH`` bytes."""
-    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=RARE_MATCH, write_content_size=False, write_dict_id=False)
-    d.precompute_compress(compression_params=how)
-    return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
 
+def windows(text: bytes) -> list[bytes]:
+    return [text[i:i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STEP), STEP)]
 
-def _measure(ordinary: bytes, toxic: bytes, rare: bytes):
-    """A text's figures against both toxic dictionaries."""
-    fine = _compressor(ordinary), _compressor(ordinary + toxic)
-    coarse = _coarse_compressor(ordinary), _coarse_compressor(ordinary + rare)
-    return lambda text: np.concatenate([figures(text, *fine), figures(text, *coarse)[:-1]])
 
-
-def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
-    return [text[i:i + size] for i in range(0, len(text), size)] or [b""]
+def _compressor(content: bytes):
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # Tables with room for every position: in smaller ones a longer dictionary would overwrite its own entries.
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=SEARCH, min_match=MATCH, target_length=32, strategy=STRATEGY, write_content_size=False, write_dict_id=False)
+    d.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
 
-def figures(text: bytes, plain, both) -> np.ndarray:
-    saved = np.array([len(plain.compress(w)) - len(both.compress(w)) for w in windows(text.lower())], float)
-    return np.array([np.clip(saved, -4, 8).mean(), *[np.log1p((saved >= k).sum()) for k in STEPS], np.log1p(max(0.0, saved.sum())), np.log(len(saved))])
+def _differ(ordinary: bytes, toxic: bytes):
+    """Bytes (UTF-8) to the length difference of each window."""
+    plain, both = _compressor(ordinary), _compressor(toxic + ordinary)
+    return lambda text: np.clip([len(plain(w)) - len(both(w)) for w in windows(normal(text))], LOWEST, HIGHEST)
 
 
-def _dictionary(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary's bytes; the samples' own where they are too few to train on."""
+def dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A trained dictionary's bytes, taken from the samples in pieces of ``segment``; the samples' own where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
 
-def _kinds(sets: list[set[bytes]], bands: int = 8, rows: int = 3, least: float = 0.5) -> list[int]:
-    """A number for each word set, the same for near copies: sets that share a band of lowest hashes and half their words."""
-    root = list(range(len(sets)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    lead: dict[tuple, int] = {}
-    odd = np.array([2 * xxhash.xxh32_intdigest(bytes([k])) + 1 for k in range(bands * rows)], np.uint64)
-    for k, words in enumerate(sets):
-        h = np.array([xxhash.xxh32_intdigest(w) for w in words] or [0], np.uint64)
-        low = ((h[:, None] * odd[None, :]) >> np.uint64(16) & np.uint64(0xFFFFFFFF)).min(0).tolist()
-        for band in range(bands):
-            other = lead.setdefault((band, *low[band * rows:(band + 1) * rows]), k)
-            if find(other) != find(k) and len(words & sets[other]) >= least * len(words | sets[other]):
-                root[max(find(other), find(k))] = min(find(other), find(k))
-    return [find(k) for k in range(len(sets))]
-
-
-def _spread(texts: list[bytes]) -> tuple[Counter, int]:
-    """For each word, how many kinds of text have it, near copies being of one kind; and how many kinds there are."""
-    pool: dict[bytes, bytes] = {}  # one object for each distinct word
-    sets = [{pool.setdefault(w, w) for w in t.split()} for t in texts]
-    groups = defaultdict(list)
-    for kind, words in zip(_kinds(sets), sets):
-        groups[kind].append(words)
-    having: Counter = Counter()
-    for group in groups.values():
-        having.update(set().union(*group))
-    return having, len(groups)
-
-
-def _tail(c: int, n: int, share: float) -> float:
-    """The probability of ``c`` or more of ``n`` at ``share`` each."""
-    k = np.arange(c, n + 1)
-    lg = np.frompyfunc(math.lgamma, 1, 1)
-    return float(np.exp((math.lgamma(n + 1) - lg(k + 1.0) - lg(n - k + 1.0)).astype(float) + k * math.log(share) + (n - k) * math.log1p(-share)).sum())
-
-
-def _rare(in_bad: Counter, n_bad: int, in_good: Counter, n_good: int) -> bytes:
-    """The words with a significant surplus in toxic texts, the most significant last."""
-    share, found = n_bad / (n_bad + n_good), []
-    for w, c in in_bad.items():
-        g = in_good.get(w, 0)
-        if len(w) > 2 and c >= RARE_COUNT and c / n_bad >= MARK_RATIO * (g + 1) / (n_good + 1) and (p := _tail(c, c + g, share)) <= SIGNIFICANCE:
-            found.append((-p, w))
-    return (b" " + b" ".join(w for _, w in sorted(found)) + b" ")[-RARE_BYTES:] if found else b""
-
-
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """From (text, label) pairs; deterministic for their order."""
-    texts, labels = [t.lower().encode() for t, _ in rows], np.array([y for _, y in rows], float)
-    base = float(labels.mean()) if len(labels) else 0.0
-    bad, good = (list(dict.fromkeys(t for t, y in zip(texts, labels) if y == k)) for k in (1, 0))
-    if not bad or not good:
-        return Model(b"", b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), base)
-    (in_bad, n_bad), (in_good, n_good) = _spread(bad), _spread(good)
-    marks = {w for w, c in in_bad.items() if len(w) > 2 and c >= max(2, MARK_SHARE * n_bad) and c / n_bad >= MARK_RATIO * (in_good.get(w, 0) + 1) / (n_good + 1)}
-    samples = [b" " + s + b" " for s in (b" ".join(w for w in t.split() if w in marks) for t in bad) if s]
-    ordinary = _dictionary(ORDINARY_BYTES, [w for t in good for w in windows(t)][:40_000])
-    toxic = _dictionary(TOXIC_BYTES, samples) if samples else b""
-    rare = _rare(in_bad, n_bad, in_good, n_good)
-    measure = _measure(ordinary, toxic, rare)
-    x = np.array([measure(t) for t in texts])
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    w = np.zeros(x.shape[1])
-    for _ in range(40):  # Newton's method
+def grams(text: bytes) -> np.ndarray:
+    """A 32-bit hash of each string of ``GRAM`` bytes."""
+    x = np.frombuffer(text, "u1").astype(np.uint32)
+    n = max(0, len(x) - GRAM + 1)
+    h = np.zeros(n, np.uint32)
+    for k in range(GRAM):
+        h = h * np.uint32(0x01000193) + x[k:k + n]
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
+
+
+def kind(text: bytes) -> bytes:
+    """Near copies have the same four lowest hashes: they count as one text."""
+    return np.unique(grams(text))[:4].tobytes()
+
+
+def _spread(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each string's hash and how many kinds of text have it; how many kinds there are."""
+    kinds: dict[bytes, np.ndarray] = {}
+    for t in texts:
+        own = np.unique(grams(t))
+        lead = own[:4].tobytes()
+        kinds[lead] = np.union1d(kinds[lead], own) if lead in kinds else own
+    every = np.concatenate([np.zeros(0, np.uint32), *kinds.values()])
+    return *np.unique(every, return_counts=True), len(kinds)
+
+
+def _together(parts):
+    """Counts of several folds in one."""
+    values, counts = np.concatenate([v for v, _, _ in parts]), np.concatenate([c for _, c, _ in parts])
+    found, at = np.unique(values, return_inverse=True)
+    return found, np.bincount(at, counts, len(found)), sum(n for _, _, n in parts)
+
+
+def surplus(bad, good) -> np.ndarray:
+    """The hashes with a significant surplus in toxic texts, ascending; both sides as of ``_spread``."""
+    (v, c, n_bad), (w, d, n_good) = bad, good
+    if not len(v) or not n_good:
+        return v
+    at = np.minimum(np.searchsorted(w, v), max(0, len(w) - 1))
+    g = np.where(w[at] == v, d[at], 0) if len(w) else np.zeros(len(v))
+    total, share = c + g, n_bad / (n_bad + n_good)
+    q = c / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0)
+        tail = np.where(q > share, -total * (q * np.log(q / share) + rest), 0.0)  # Chernoff's bound of the binomial tail
+    return v[(c >= LEAST_TEXTS) & (c / n_bad >= SURPLUS * (g + 1) / (n_good + 1)) & (tail <= SIGNIFICANCE)]
+
+
+def passages(text: bytes, marked: np.ndarray) -> list[bytes]:
+    """The maximal runs of bytes that marked strings cover."""
+    h = grams(text)
+    if not len(h) or not len(marked):
+        return []
+    at = np.flatnonzero(marked[np.minimum(np.searchsorted(marked, h), len(marked) - 1)] == h)
+    edge = np.zeros(len(text) + 1, np.int32)
+    edge[at] += 1
+    edge[at + GRAM] -= 1
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])))
+    return [text[a:b] for a, b in turn.reshape(-1, 2).tolist()]
+
+
+def _pair(bad: list[bytes], good: list[bytes], counts_bad, counts_good) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    marked = surplus(counts_bad, counts_good)
+    samples = [p for t in {kind(t): t for t in reversed(bad)}.values() for p in passages(t, marked)]
+    every = [t[i:i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
+    size = min(TOXIC_BYTES[1], max(TOXIC_BYTES[0], sum(map(len, samples)) // 8))
+    return dictionary(ORDINARY_BYTES, every[::max(1, len(every) // 50_000)], SEGMENTS[0]), dictionary(size, samples, SEGMENTS[1]) if samples else b""
+
+
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
+    """From (text, label) pairs; deterministic for their order. ``totals``: how many rows of each label there are, where ``rows`` is a sample."""
+    base = float(np.mean([y for _, y in rows])) if rows else 0.0
+    if totals:
+        base = totals.get(1, 0) / max(1, sum(totals.values()))
+    rows = list(dict.fromkeys((normal(t.encode()), y) for t, y in rows))
+    texts, labels = [t for t, _ in rows], np.array([y for _, y in rows], float)
+    if not 0 < labels.sum() < len(labels):
+        return Model(b"", b"", np.zeros(0), np.zeros(0), base)
+    fold = np.array([zlib.crc32(kind(t)) % FOLDS for t in texts])  # near copies stand in one fold
+    part = lambda y, f, same: [t for t, k, z in zip(texts, fold, labels) if z == y and (k == f) == same]
+    counts = {(y, f): _spread(part(y, f, True)) for y in (0, 1) for f in range(FOLDS)}
+    others = lambda y, f: _together([counts[y, k] for k in range(FOLDS) if k != f])
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    for f in range(FOLDS):
+        differ = _differ(*_pair(part(1, f, False), part(0, f, False), others(1, f), others(0, f)))
+        for k in np.flatnonzero(fold == f):
+            found[k] = differ(texts[k])
+    kinds = HIGHEST - LOWEST + 1
+    # Every text counts as one, however long: else one long text with a line that repeats would speak for its label.
+    seen = [sum(np.bincount(d - LOWEST, minlength=kinds) / len(d) for d, y in zip(found, labels) if y == z) + PRIOR for z in (0, 1)]
+    ratio = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
+    x = np.array([[1.0, ratio[d - LOWEST].sum(), np.log(len(d))] for d in found])
+    each = {z: (totals or {}).get(z, 0) / (labels == z).sum() for z in (0, 1)}
+    weigh = np.where(labels == 1, each[1], each[0]) if totals else np.ones(len(labels))
+    weigh = weigh * len(labels) / weigh.sum()
+    w = np.zeros(3)
+    for _ in range(60):  # Newton's method, on weights held towards 0 a little
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - labels) + w)
+        step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + np.eye(3), x.T @ (weigh * (p - labels)) + w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return Model(ordinary, toxic, rare, mean, scale, w, base)
+    every = [[t for t, y in zip(texts, labels) if y == z] for z in (1, 0)]
+    return Model(*_pair(*every, others(1, None), others(0, None)), ratio, w, base)
 
 
 def held_out(ident: Column) -> Column:
@@ -194,14 +226,18 @@ def held_out(ident: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """A model from labelled rows that aren't held out. ``labels``: (doc_id, toxic)."""
     ours = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    ours = ours.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.join(F.broadcast(ours), F.col(id_col).cast("long") == F.col("__id")).select("__id", F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, max_chars).alias("t"), F.col("__toxic").alias("y"))
-    # Rows may repeat an id, so the bound holds for ids; repeated texts are dropped before they are sent.
-    return fit([(r["t"], int(r["y"])) for r in sorted(rows.distinct().collect(), key=lambda r: (r["__id"], r["t"]))])
+    totals = {int(r["__toxic"]): r["n"] for r in ours.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for label in (0, 1):
+        some = ours.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+        found = docs.join(F.broadcast(some), F.col(id_col).cast("long") == F.col("__id")).select("__id", spread_text(F.col(text_col), max_chars).alias("t")).distinct()
+        # Rows may repeat an id: the bound holds for rows too.
+        rows += [(r["__id"], r["t"], label) for r in found.orderBy(F.xxhash64("__id", "t"), "__id", "t").limit(max_rows).collect()]
+    return fit([(t, y) for _, t, y in sorted(rows)], totals)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score."""
+    """All columns of ``docs`` (but one called ``name``) and the score."""
 
     def run(batches):
         score = model.scorer()
@@ -210,10 +246,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
             scores = pa.array([score(t.as_py() or b"") for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.withColumn("__text", F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
+    kept = [f for f in docs.schema.fields if f.name != name]
+    each = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
+    return each.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
