@@ -2,11 +2,17 @@
 
 Words are those of ``simhash``. Texts with equal sets are one node. Shingles are put in one order for all texts, those that are common in a
 sample of texts last, the others by their hashes. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each
-(n: the size of the set), so each node goes into a bucket for each of these: no pair is missed, whatever the sample holds. A bucket's nodes are first
-compared with its smallest one whose size allows the similarity; what that links is one component, and then all pairs of a bucket
-that lie in different components are compared, so a large group of near copies costs a comparison for each member and bucket at most.
+(n: the size of the set), so each node goes into a bucket for each of these: no pair is missed, whatever the sample holds. Sizes that allow the similarity lie in the same
+band of sizes or in neighbouring ones. A bucket's nodes are first compared with a few leads of their band and of the band below; what
+that links is one component. Then the pairs of a bucket that lie in different components are compared, those within its largest component
+excepted, so a large group of near copies costs a few comparisons for each member and bucket.
 
-Defined cases: null texts, empty texts and texts of white space alone are one node; fewer than five words make one shingle; other columns pass through.
+Only the shingles are made in Python, a text at a time. Buckets, leads, candidate pairs and verification are DataFrame operations that combine before they shuffle and
+spill when they must; no bucket is gathered in one task. Sets of shingles are made for nodes with a candidate only: a bit table of fixed size tells
+which rows can be theirs.
+
+Defined cases: null texts, empty texts and texts of white space alone are one node; fewer than five words make one shingle; very long texts have large sets and are
+compared whole; repeated rows are one node; an empty table gives an empty table; other columns, whatever their names, pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -29,6 +35,12 @@ SIMILARITY = 0.8
 SAMPLE = 8000
 COMMON = 3
 MOST_COMMON = 100_000
+#: Nodes of a bucket and band with which all others of it are compared first.
+LEADS = 4
+#: Bits of the table that tells rows of candidates.
+TABLE_BITS = 1 << 22
+#: Texts in one piece of what Python returns.
+ROWS = 500
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -55,11 +67,6 @@ def leading(s: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -
     return s[np.argsort(rank, kind="stable")[:n]]
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
 def _node(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), 1)], U).view(np.int64)[0])
 
@@ -83,133 +90,104 @@ def _common(rows: DataFrame, width: int) -> np.ndarray:
     return out[np.argsort(out[:, 0])]
 
 
-def _whole_buckets(batches):
-    """(key, node, n) arrays of whole buckets, sorted by key, n and node and distinct, from rows in order of key."""
-    held = [np.zeros(0, np.int64)] * 4
-
-    def ordered(x):
-        x = [c[np.lexsort((x[1], x[2], x[0]))] for c in x]
-        new = np.ones(len(x[0]), bool)
-        new[1:] = (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)
-        return [c[new] for c in x]
-
+def _pieces(batches):
+    """Batches of ``ROWS`` rows at most."""
     for batch in batches:
-        got = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        x = [np.concatenate([a, b]) for a, b in zip(held, got)]
-        if not len(x[0]):
-            continue
-        first = int(np.argmax(x[0] == x[0][-1]))
-        held = [c[first:] for c in x]
-        if first:
-            yield ordered([c[:first] for c in x])
-    if len(held[0]):
-        yield ordered(held[:len(x)])
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
 
 
-def _out(names: list[str], columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64), pa.int64()) for c in columns], names)
+def _keyed(rows: DataFrame, common: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """(id, h, node, n, keys)."""
 
+    def run(batches):
+        for batch in _pieces(batches):
+            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
+            first = [leading(s, common, similarity).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "h", "node", "n", "keys"])
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "id long, h long, node long, n long, keys array<long>")
 
 
-def _shared(keyed: DataFrame, similarity: float) -> DataFrame:
-    """The rows (key, node, n) that have another node in their bucket whose size allows the similarity."""
+def _buckets(each: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, band): nodes whose key another node has too, each once."""
+    # A little wider than 1 / similarity, so that rounding never parts two sizes by more than one band.
+    band = F.floor(F.log(F.col("n")) / (-math.log(similarity) * (1 + 1e-6))).cast("int")
+    keyed = each.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    return keyed.join(shared, "key", "left_semi").distinct().withColumn("band", band)
 
-    def run(batches):
-        for key, node, n in _whole_buckets(batches):
-            fits = (np.diff(key) == 0) & (n[:-1] >= similarity * n[1:] - 1e-9)
-            keep = np.append(fits, False) | np.insert(fits, 0, False)
-            if keep.any():
-                yield _out(["key", "node", "n"], (key[keep], node[keep], n[keep]))
 
-    return _bucketed(keyed).mapInArrow(run, "key long, node long, n long")
+def _fits(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def _cuts(key: np.ndarray) -> list[int]:
-    return [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
 def _leads(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each node of a bucket with the smallest whose size allows the similarity, and that isn't with a smaller one itself."""
+    """(a, b): each node of a bucket with the leads of its band and of the band below, where the sizes allow the similarity. Leads are the smallest
+    node and those of the lowest hashes for ``LEADS`` - 1 seeds: with several, a large group seldom stays in parts."""
+    orders = [F.struct("n", "node"), *[F.struct(F.xxhash64("node", F.lit(k)).alias("n"), "node") for k in range(1, LEADS)]]
+    lead = buckets.groupBy("key", "band").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("leads"))
+    both = lead.unionByName(lead.withColumn("band", F.col("band") + 1))
+    found = buckets.join(both, ["key", "band"]).select(F.col("node").alias("p"), F.explode("leads").alias("q")).where("p <> q")
+    sized = buckets.select("node", "n").distinct()
+    mine, other = (sized.select(F.col("node").alias(c), F.col("n").alias(m)) for c, m in (("a", "na"), ("b", "nb")))
+    return _ordered(found).join(mine, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+
+
+def _across(rooted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of buckets (key, node, n, band, root), the pairs of different roots whose sizes allow the similarity."""
+    counted = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    mixed = counted.where("roots > 1").select("key", F.col("top.root").alias("top"))
+    members = rooted.join(mixed, "key")
+    probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    # Of two nodes that are both outside the largest component, the larger one asks.
+    found = probes.join(members, ["key", "band"]).where((F.col("r") != F.col("root")) & _fits(F.col("n"), F.col("m"), similarity) & ((F.col("root") == F.col("top")) | (F.col("p") > F.col("node"))))
+    return _ordered(found.select("p", F.col("node").alias("q")))
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, s array<long>) of all nodes of ``wanted(h)``, and perhaps of some others."""
+    bit = F.pmod(F.col("h"), F.lit(TABLE_BITS))
+    words = wanted.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("v")).collect()
+    table = np.zeros(TABLE_BITS // 64, U)
+    table[[r["w"] for r in words]] = np.array([r["v"] for r in words], np.int64).view(U)
 
     def run(batches):
-        for key, node, n in _whole_buckets(batches):
-            cuts, lead = _cuts(key), np.arange(len(key))
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                while x < y:
-                    to = x + int(np.searchsorted(n[x:y], n[x] / similarity + 1e-6, "right"))
-                    lead[x:to] = x
-                    x = to
-            tied = lead != np.arange(len(key))
-            yield _out(["a", "b"], np.unique(np.stack([node[tied], node[lead[tied]]]), axis=1))
-
-    return _bucketed(buckets).mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of buckets (key, node, n, root), all pairs of different roots whose sizes allow the similarity."""
+        for batch in _pieces(batches):
+            at = np.mod(batch.column(0).to_numpy(), TABLE_BITS)
+            mine = batch.filter(pa.array((table[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool)))
+            sets = [shingles(t.as_py(), width) for t in mine.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "s"])
 
-    def run(batches):
-        for key, node, n, root in _whole_buckets(batches):
-            cuts = _cuts(key)
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                kinds, which, count = np.unique(root[x:y], return_inverse=True, return_counts=True)
-                if len(kinds) == 1:
-                    continue
-                rest = which != count.argmax()  # the largest component's members meet the others only
-                for i in np.flatnonzero(rest):
-                    ok = (which != which[i]) & (np.minimum(n[x:y], n[x + i]) >= similarity * np.maximum(n[x:y], n[x + i]) - 1e-9)
-                    ok[:i] &= ~rest[:i]
-                    j = np.flatnonzero(ok)
-                    if len(j):
-                        p, q = node[x + j], np.full(len(j), node[x + i])
-                        yield _out(["a", "b"], (np.maximum(p, q), np.minimum(p, q)))
-
-    return _bucketed(buckets).mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "t").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that have the similarity."""
-
-    def run(batches):
-        for batch in batches:
-            ok = [similar(np.frombuffer(p.as_py(), U), np.frombuffer(q.as_py(), U), similarity) for p, q in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+    """The pairs (a, b) that have the similarity, by their whole sets."""
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h long: the text's xxhash64, node long, root long): rows of one root are linked over pairs of at least ``similarity``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(_text(text_col)).alias("h"), _text(text_col).cast("binary").alias("t"))
-    common = _common(rows, width)
-
-    def keys(batches):
-        for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
-            first = [leading(s, common, similarity).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "h", "node", "n", "keys"])
-
-    each = written(rows.mapInArrow(keys, "id long, h long, node long, n long, keys array<long>"), "shingles")
-    buckets = written(_shared(each.select(F.explode("keys").alias("key"), "node", "n"), similarity), "buckets")
-
-    def whole(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["node", "s"])
-
-    one = each.select("id", "h", "node").join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("id", "h")).alias("r"))
-    one = one.select("node", F.col("r.id").alias("i"), F.col("r.h").alias("g"))
-    texts = rows.join(one, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("node", "t")
-    sets = written(texts.mapInArrow(whole, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
-    first = written(_verified(_leads(buckets, similarity), sets, similarity), "links")
-    roots = components(first)
-    rooted = buckets.join(roots, F.col("node") == F.col("a"), "left").select("key", "node", "n", F.coalesce("b", "node").alias("root"))
-    more = written(_verified(_across(rooted, similarity), sets, similarity), "links")
+    each = written(_keyed(rows, _common(rows, width), similarity, width), "shingles")
+    buckets = written(_buckets(each, similarity), "buckets")
+    pairs = written(_leads(buckets, similarity), "pairs")
+    # One text stands for each node that can have a partner.
+    nodes = buckets.select("node").distinct()
+    wanted = each.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).select("h")
+    sets = written(_sets(rows, wanted, width), "sets")
+    first = written(_verified(pairs, sets, similarity), "links")
+    rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "band", F.coalesce("b", "node").alias("root"))
+    more = written(_verified(_across(written(rooted, "rooted"), similarity), sets, similarity), "links")
     found = components(first.unionByName(more))
-    for spent in (buckets, sets, first, more):
+    for spent in (buckets, pairs, sets, first, more):
         discard(spent)
     return each.select("id", "h", "node").join(found, F.col("node") == F.col("a"), "left").select("id", "h", "node", F.coalesce("b", "node").alias("root"))
 
