@@ -1,14 +1,16 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, probed by every token window.
 
 DataFrame functions only. A window is ``n`` consecutive words of a benchmark item; an item with fewer words (but not none)
-is one window as it is. Windows of the corpus are hashed in one generated-code stage, probed against the hash set, and hits
-are verified word by word, so that a hash collision removes nothing.
+is one window as it is. The corpus is split into words once; its windows of every size that the benchmark has are hashed in that pass and probed against the
+hash set. What passes is verified word by word, by a join with the windows themselves, so that a hash collision removes nothing.
 
-Scale: the corpus side is never shuffled; only hits are, by document. The hash set is broadcast while it has at most
-``max_broadcast`` windows (counted first); a larger benchmark is joined by shuffling on the hash instead.
+Scale: the corpus side is never shuffled; only hits are, by document. The broadcast set holds sizes and hashes alone, 12 bytes each, and is broadcast
+while it has at most ``max_broadcast`` of them (counted first); a larger benchmark is joined by shuffling on the hash instead. Lists of
+items stay in the table of windows. A hit of a row that is repeated is one hit before hits are put in order by document, so no
+order is longer than a document.
 
 Defined cases: null and empty texts have no words and hit nothing; null ids are kept as a document of their own; repeated rows
-(same id and text) each give the same result row; an empty benchmark or corpus gives no hits or no rows; other columns, whatever
+(same id and text) each give the same result row; very long texts are one row of as many windows; an empty benchmark or corpus gives no hits or no rows; other columns, whatever
 their names, are ignored.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_key, table
+from .common import lower_ascii, row_key, table, written
 
 #: Everything in ASCII that is neither a digit nor a letter splits words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,23 +41,27 @@ def benchmark_windows(items: DataFrame, n: int, id_col: str = "item_id", text_co
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """(key, at, size, item_ids): every occurrence of a window in a document; ``at`` counts words from 0."""
+    windows = written(windows, "windows")
     sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most n rows
     each = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), words(F.col(text_col)).alias("w"))
-    found = None
-    for size, count in sorted(sizes.items()):
-        probe = each.where(F.size("w") >= size).select("key", "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
-        probe = probe.withColumn("hash", F.xxhash64(F.slice("w", F.col("at"), F.lit(size))))
-        ours = windows.where(F.col("size") == size)
-        ours = F.broadcast(ours) if sum(sizes.values()) <= max_broadcast else ours
-        got = probe.join(ours, "hash").where(F.slice("w", F.col("at"), F.lit(size)) == F.col("window")).select("key", (F.col("at") - 1).alias("at"), "size", "item_ids")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = each.where(F.lit(False)).select("key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("item_ids"))
-    return found
+    if not sizes:
+        return each.where(F.lit(False)).select("key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("item_ids"))
+    listed = F.array(*map(F.lit, sorted(sizes)))
+    # Each size, then each place: one row for a window, made and probed without a shuffle.
+    sized = each.select("key", "w", F.explode(F.filter(listed, lambda s: s <= F.size("w"))).alias("size"))
+    probe = sized.select("key", "w", "size", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at"))
+    probe = probe.withColumn("hash", F.xxhash64(F.slice("w", F.col("at"), F.col("size"))))
+    known = windows.select("size", "hash").distinct()
+    known = F.broadcast(known) if sum(sizes.values()) <= max_broadcast else known
+    passed = probe.join(known, ["size", "hash"], "left_semi").select("key", "at", "size", "hash", F.slice("w", F.col("at"), F.col("size")).alias("found"))
+    ours = windows.select(F.col("size").alias("s"), F.col("hash").alias("h"), "window", "item_ids")
+    right = (F.col("size") == F.col("s")) & (F.col("hash") == F.col("h")) & (F.col("found") == F.col("window"))
+    return passed.join(ours, right).select("key", (F.col("at") - 1).alias("at"), "size", "item_ids")
 
 
 def spans(found: DataFrame) -> DataFrame:
     """Per document the union of its hits: (key, n_hit, item_ids) with n_hit counting each word once."""
+    found = found.groupBy("key", "at", "size").agg(F.first("item_ids").alias("item_ids"))  # a repeated row's hits are one
     w = Window.partitionBy("key").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("size")
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("at"), F.coalesce(F.max(end).over(w), F.lit(0))))
