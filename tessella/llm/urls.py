@@ -10,7 +10,7 @@ Rules (host, path) are policy, few and given by the caller: a rule fits its host
 rule's; the longest wins.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and no list entry (verdict ``allow``);
-repeated rows are judged each on its own; an empty list blocks nothing; other columns pass through, but
+repeated rows are judged each on its own; very long URLs are judged whole; an empty list blocks nothing, an empty table gives an empty table; other columns pass through, but
 those named like a column that is made give way to it.
 """
 
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, table, written
 
 #: Odd 32-bit multipliers, one for each word of a block.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
@@ -81,7 +81,7 @@ def build_filter(listed: DataFrame, blocks: int) -> DataFrame:
 
 def listed_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", bits_per_url: int = BITS_PER_URL, max_broadcast_mb: int = 64) -> DataFrame:
     """``pages`` with columns canon and listed (boolean): whether the canonical URL stands in ``listed`` (a column url)."""
-    entries = listed.select(canonical(F.col("url")).alias("canon")).where(F.col("canon").isNotNull()).distinct()
+    entries = written(listed.select(canonical(F.col("url")).alias("canon")).where(F.col("canon").isNotNull()).distinct(), "listed")
     n = entries.count()
     blocks = max(1, -(-n * bits_per_url // 256))
     small = blocks * 80 <= max_broadcast_mb << 20
@@ -92,12 +92,12 @@ def listed_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", bits_
     probe = keyed.withColumn("__block", _block(h, blocks)).join(filt, F.col("__block") == F.col("__slot"), "left")
     passes = reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(m) != 0 for i, m in enumerate(_masks(h))])
     probe = probe.withColumn("__maybe", F.coalesce(passes, F.lit(False)) & F.col("__canon").isNotNull())
+    # Only what the filter passes goes to the exact join; the rest isn't shuffled for it.
     ours = entries.select(F.col("canon").alias("__entry"))
-    # A row that the filter holds back gets a null key, which the exact join passes over: it is neither matched nor lost.
-    probe = probe.withColumn("__key", F.when(F.col("__maybe"), F.col("__canon")))
-    out = probe.join(ours, F.col("__key") == F.col("__entry"), "left")
+    some = probe.where("__maybe").join(ours, F.col("__canon") == F.col("__entry"), "left")
+    rest = probe.where("not __maybe").withColumn("__entry", F.lit(None).cast("string"))
     own = [F.col(f"`{c}`") for c in pages.columns if c not in ("canon", "maybe", "listed")]
-    return out.select(*own, F.col("__canon").alias("canon"), F.col("__maybe").alias("maybe"), F.col("__entry").isNotNull().alias("listed"))
+    return some.unionByName(rest).select(*own, F.col("__canon").alias("canon"), F.col("__maybe").alias("maybe"), F.col("__entry").isNotNull().alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url", **kw) -> DataFrame:
