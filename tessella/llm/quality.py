@@ -51,19 +51,16 @@ def with_statistics(docs: DataFrame, text: str) -> DataFrame:
     w, n = F.col("w"), F.size("w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("__h", windows)
-    # Hash and place in one long, so that sorting brings equal windows together: as many low bits as the places need.
-    low = F.ceil(F.log2(F.greatest(F.size("__h"), F.lit(2)))).cast("int")
-    out = out.withColumn("__low", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), low))
-    place = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__low")) - 1
-    out = out.withColumn("__place", place)
-    out = out.withColumn("__p", F.when(F.col("__low").isNotNull(), F.sort_array(F.transform("__h", lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("__place"))).bitwiseOR(i.cast("long"))))))
-    same = lambda x, y: F.coalesce(F.call_function("shiftright", x.bitwiseXOR(y), F.col("__low")) == 0, F.lit(False))
+    # Only a text with two equal windows is put in order, by the whole hash, so that equal windows stand together.
+    again_ = F.size(F.array_distinct("__h")) < F.size("__h")
+    out = out.withColumn("__p", F.when(again_, F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))))
     p = F.col("__p")
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     again = F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1)))
-    out = out.withColumn("__at", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("__place")))))
+    out = out.withColumn("__at", F.sort_array(F.transform(again, lambda x: x["i"])))
     at = F.col("__at")
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__lines", "__h", "__low", "__place", "__p", "__at")
+    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("__lines", "__h", "__p", "__at")
 
 
 def ngrams(w: Column, buckets: int) -> Column:
