@@ -129,3 +129,13 @@ def test_pairs_are_replaced_until_none_is_frequent():
     assert len(s.rules) == 18000 and len(s.symbols) == 2 * len(docs)
     assert s.all().tobytes() == b"".join(d + np.array([2], "<u4").tobytes() for d in docs)
 
+
+
+def test_search_of_a_whole_text_commits_at_its_spaces(vocabulary, pairs):
+    for t in [*(t for _, t in pairs if t and "▁" not in t), "a b c", "one  two"]:
+        marked = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        before = vocabulary.commits
+        ids = list(vocabulary.search(iter(marked)))
+        assert ids == list(memoryview(vocabulary.encode([t])[0]).cast("I"))
+        # A commit at the front of every run of spaces; long runs of other characters add their own.
+        assert vocabulary.commits - before >= len(pieces.CHUNK.findall(marked)) - 1
