@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, scratch, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "discard", "lower_ascii", "row_key", "scratch", "shared_dir", "spread_text", "table", "written"]
+__all__ = ["LOWER", "UPPER", "discard", "fresh", "lower_ascii", "row_key", "scratch", "shared_dir", "spread_text", "table", "written"]
 
 #: The only letters that the operators lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,6 +24,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(ident: Column, text: Column) -> Column:
     """What names a row in joins: its id, and its text's hash so that repeated ids don't mix texts. Never null."""
     return F.struct(ident.alias("id"), F.xxhash64(text).alias("h"))

@@ -3,13 +3,14 @@
 The patterns (e-mail and IP addresses, card and phone numbers) are found in every whole text, in time linear in its length. The model is trained
 in numpy on labelled spans: windows of a bounded sample of texts, labelled by the patterns, and the same windows with generated items set in,
 among them forms that the patterns don't know (phone numbers without a plus sign, cards of 13 to 15 digits). It reads
-windows of ``WINDOW`` characters that overlap by half; a character's tag is that of the window in which it stands most centrally, and spans are read off
-the joined tags, so that none is cut at a window's edge. Spans of any of the four kinds hold a digit or an ``@``: windows without one are
+windows of ``WINDOW`` characters that overlap by half. Windows that overlap are reconciled before decoding: each character's emissions are those of the window in
+which it stands most centrally, and one Viterbi search runs over all windows that hang together, so that no sequence of tags that the CRF bars can arise at a seam and no
+item is cut at one. A long run of windows is decoded as a stream: tags are given out where all surviving paths agree. Spans of any of the four kinds hold a digit or an ``@``: windows without one are
 not run. A span of the model is added if it can be of its kind (digits, checksum, parts) and touches no pattern's span.
 
-Scale: no shuffle; the model (some 100 KB) goes with the function, the sample's bound is ``max_texts``. Windows are run ``BATCH`` at a time.
+Scale: no shuffle; the model (some 100 KB) goes with the function, the sample's bounds are ``max_texts``, ``max_chars`` of each and ``max_windows`` of these. Windows are run ``BATCH`` at a time.
 
-Defined cases: null texts count as empty; an empty text has no spans; repeated rows give equal rows; a corpus without any sample text trains on
+Defined cases: null texts count as empty; an empty text has no spans; very long texts are found and decoded whole; repeated rows give equal rows; an empty table gives an empty table; a corpus without any sample text trains on
 generated items alone; other columns pass through ``mask``.
 """
 
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import table
+from .common import fresh, spread_text, table
 from .tagger import KINDS, TAGS, Tagger, codes
 
 WINDOW = 64
 BATCH = 256
 MAX_TEXTS = 1500
 MAX_CHARS = 20_000
+MAX_WINDOWS = 40
+#: Windows of the longest run that is decoded together with others.
+LONG = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,18 +102,23 @@ def windows_of(text: str, starts: list[int]) -> np.ndarray:
     return out
 
 
-def join_windows(starts: list[int], tags: np.ndarray, length: int) -> dict[int, int]:
-    """Position to tag (other than O): each position takes the tag of the window in which it is most central."""
-    quarter, out, run = WINDOW // 4, {}, set(starts)
-    for a, row in zip(starts, tags):
-        lo = 0 if a - WINDOW // 2 not in run else quarter
-        hi = WINDOW if a + WINDOW // 2 not in run else WINDOW - quarter
-        for k in np.flatnonzero(row[lo:hi]) + lo:
-            if a + k < length:
-                out[a + int(k)] = int(row[k])
+def runs_of(starts: list[int]) -> list[list[int]]:
+    """Windows that overlap, together."""
+    out: list[list[int]] = []
+    for a in starts:
+        if out and a - out[-1][-1] == WINDOW // 2:
+            out[-1].append(a)
+        else:
+            out.append([a])
     return out
 
 
+def joined(emissions: np.ndarray, at: int, windows: int) -> np.ndarray:
+    """The emissions of a run, or of the part of it that begins with window ``at``: each character's are those of the window in which it stands most centrally."""
+    quarter = WINDOW // 4
+    return np.concatenate([e[quarter if at + k else 0:WINDOW if at + k == windows - 1 else WINDOW - quarter] for k, e in enumerate(emissions)])
+
+
 def spans_of(tags: dict[int, int]) -> list[tuple[str, int, int]]:
     out: list[list] = []
     for at in sorted(tags):
@@ -166,13 +175,14 @@ def _labelled(text: str, spans) -> np.ndarray:
     return tags
 
 
-def fit(texts: list[str], seed: int = 3, made: int = 2500, steps: int = 300) -> Tagger:
-    """From sample texts; deterministic for their order."""
+def fit(texts: list[str], seed: int = 3, made: int = 2500, steps: int = 300, max_windows: int = MAX_WINDOWS) -> Tagger:
+    """From sample texts, at most ``max_windows`` windows of each, spread evenly over it; deterministic for their order."""
     r = np.random.default_rng(seed)
     rows, tags = [], []
     for text in texts:
         spans = pattern_spans(text)
-        starts = window_starts(text)[:40]
+        starts = window_starts(text)
+        starts = starts[::max(1, -(-len(starts) // max_windows))]
         rows += list(windows_of(text, starts))
         # Cut spans keep their tags: a window begins with B there, as in a text that begins so.
         tags += [_labelled(text[a:a + WINDOW], [(k, x - a, y - a) for k, x, y in spans]) for a in starts]
@@ -197,9 +207,11 @@ def fit(texts: list[str], seed: int = 3, made: int = 2500, steps: int = 300) ->
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> Tagger:
-    """From at most ``max_texts`` texts with a digit or an ``@``, those whose ids hash lowest, and at most ``max_chars`` of each."""
+    """From at most ``max_texts`` texts with a digit or an ``@``, those whose ids hash lowest, and at most ``max_chars`` of each, in pieces spread over the whole of it."""
     ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_texts)
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("__id", F.substring(F.col(text_col), 1, max_chars).alias("t")).distinct().collect()
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__id")).select("__id", spread_text(F.col(text_col), max_chars).alias("t")).distinct()
+    # An id may have many texts: the bound holds for texts too.
+    rows = rows.orderBy(F.xxhash64("__id", "t"), "__id", "t").limit(max_texts).collect()
     return fit([r["t"] for r in sorted(rows, key=lambda r: (r["__id"], r["t"]))])
 
 
@@ -208,42 +220,43 @@ def find_all(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     base = [pattern_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
     held: list[tuple[int, list[int]]] = []
-    rows: list[np.ndarray] = []
 
-    def run():
-        if not held:
+    def take(k: int, start: int, tags: np.ndarray):
+        text = texts[k]
+        at = np.flatnonzero(tags)
+        if not len(at):
             return
-        every = np.concatenate(rows)
-        tags = np.concatenate([model.tag(every[a:a + BATCH]) for a in range(0, len(every), BATCH)])
-        at = 0
-        for k, starts in held:
-            text = texts[k]
-            mine = tags[at:at + len(starts)]
-            at += len(starts)
-            if not mine.any():
-                continue
-            taken = sorted((a, b) for _, a, b in base[k])
-            lo = np.array([a for a, _ in taken], np.int64)
-            hi = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else lo
-            for kind, a, b in spans_of(join_windows(starts, mine, len(text))):
-                n = int(np.searchsorted(lo, b, "left"))  # pattern spans that begin before b
-                if (n == 0 or hi[n - 1] <= a) and can_be(kind, text[a:b]):
-                    added[k].append((kind, a, b))
+        taken = sorted((a, b) for _, a, b in base[k])
+        lo = np.array([a for a, _ in taken], np.int64)
+        hi = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else lo
+        for kind, a, b in spans_of({start + int(i): int(tags[i]) for i in at if start + i < len(text)}):
+            n = int(np.searchsorted(lo, b, "left"))  # pattern spans that begin before b
+            if (n == 0 or hi[n - 1] <= a) and can_be(kind, text[a:b]):
+                added[k].append((kind, a, b))
+
+    def run():
+        rows = np.concatenate([windows_of(texts[k], starts) for k, starts in held])
+        every = np.concatenate([model.emissions(rows[a:a + BATCH]) for a in range(0, len(rows), BATCH)])
+        ends = np.cumsum([len(starts) for _, starts in held]).tolist()
+        parts = [joined(every[e - len(starts):e], 0, len(starts)) for e, (_, starts) in zip(ends, held)]
+        for (k, starts), tags in zip(held, model.best(parts)):
+            take(k, starts[0], tags)
         held.clear()
-        rows.clear()
 
     waiting = 0
     for k, text in enumerate(texts):
-        starts = window_starts(text)
-        for a in range(0, len(starts), 1 << 14):  # a very long text is run in parts of whole windows
-            part = starts[a:a + (1 << 14)]
-            held.append((k, part))
-            rows.append(windows_of(text, part))
-            waiting += len(part)
-            if waiting >= 4 * BATCH:
+        for starts in runs_of(window_starts(text)):
+            if len(starts) > LONG:  # by itself, some windows at a time
+                some = (joined(model.emissions(windows_of(text, starts[a:a + BATCH])), a, len(starts)) for a in range(0, len(starts), BATCH))
+                take(k, starts[0], np.concatenate(list(model.stream(some))))
+                continue
+            held.append((k, starts))
+            waiting += len(starts)
+            if waiting >= 16 * BATCH:
                 run()
                 waiting = 0
-    run()
+    if held:
+        run()
     order = {k: i for i, k in enumerate(KINDS)}
     return [(b, sorted(set(a), key=lambda s: (order[s[0]], s[1], s[2]))) for b, a in zip(base, added)]
 
@@ -282,12 +295,13 @@ def mask(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(batch.num_columns - 1)]
             found = find_all([t or "" for t in texts], model)
-            masked = [None if t is None else mask_text(t, b + a) for t, (b, a) in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(masked, pa.string())], [*batch.schema.names[:-1], "__masked"])
+            rewritten = [None if t is None else mask_text(t, b + a) for t, (b, a) in zip(texts, found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rewritten, pa.string())], [*batch.schema.names[:-1], masked])
 
-    each = docs.withColumn("__text", F.col(text_col).cast("string"))
-    out = each.mapInArrow(run, StructType([*docs.schema.fields, StructField("__masked", StringType())]))
-    return out.select(*[F.col("__masked").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text, masked = fresh(docs, "__text"), fresh(docs, "__masked")
+    each = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").cast("string").alias(text))
+    out = each.mapInArrow(run, StructType([*docs.schema.fields, StructField(masked, StringType())]))
+    return out.select(*[F.col(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _listed(spans):

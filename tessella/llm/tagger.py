@@ -143,6 +143,63 @@ class Tagger:
                 self.p[n] = self.p[n] - pace * (m[n] / (1 - 0.9**k)) / (np.sqrt(v2[n] / (1 - 0.999**k)) + 1e-8)
         return self
 
+    def emissions(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, time, tags): the scores that the CRF decodes."""
+        return np.ascontiguousarray(self._scores(rows)[-1].transpose(1, 0, 2))
+
+    def best(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag sequence of each run of emissions (time, tags)."""
+        order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
+        a, first = self._rules()
+        size = np.array([len(runs[k]) for k in order])
+        steps, n = int(size[0]) if len(order) else 0, len(order)
+        s = np.zeros((steps, n, len(TAGS)))
+        for i, k in enumerate(order):
+            s[:size[i], i] = runs[k]
+        alive = np.searchsorted(-size, -np.arange(steps), "left")  # runs that go on at each time; the longest stand first
+        score, back = first + s[0] if steps else first, np.zeros(s.shape, np.int8)
+        for t in range(1, steps):
+            m = alive[t]
+            step = score[:m, :, None] + a[None]
+            back[t, :m] = step.argmax(1)
+            score[:m] = step.max(1) + s[t, :m]
+        out: list = [None] * n
+        at, tags = score.argmax(1) if steps else None, np.zeros((steps, n), np.int8)
+        for t in range(steps - 1, -1, -1):
+            m = alive[t]
+            tags[t, :m] = at[:m]
+            at[:m] = back[t][np.arange(m), at[:m]]
+        for i, k in enumerate(order):
+            out[k] = tags[:size[i], i]
+        return out
+
+    def stream(self, chunks):
+        """The tags of one long run of emissions, in pieces, as soon as all surviving paths agree on them."""
+        a, first = self._rules()
+        score, back, every = None, [], np.arange(len(TAGS))
+        for chunk in chunks:
+            for row in chunk:
+                if score is None:
+                    score = first + row
+                    back.append(every)
+                    continue
+                step = score[:, None] + a
+                lead = step.argmax(0)
+                score = step[lead, every] + row
+                back.append(lead)
+            paths = np.empty((len(back), len(TAGS)), np.int8)
+            at = every
+            for t in range(len(back) - 1, -1, -1):
+                paths[t] = at
+                at = back[t][at]
+            agreed = np.flatnonzero((paths == paths[:, :1]).all(1))
+            if len(agreed):  # from the last place on which all agree, there is one path back
+                n = int(agreed[-1])
+                yield paths[:n, 0]
+                back = back[n:]
+        if score is not None:
+            yield paths[len(paths) - len(back):, int(score.argmax())]
+
     def tag(self, rows: np.ndarray) -> np.ndarray:
         """The best tag sequence of each row."""
         s = self._scores(rows)[-1]

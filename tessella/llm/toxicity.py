@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import spread_text, table
+from .common import fresh, spread_text, table
 
 WINDOW = 64
 #: Windows overlap, so that a short word at the edge of one stands whole in the next.
@@ -247,13 +247,14 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], name])
 
     kept = [f for f in docs.schema.fields if f.name != name]
-    each = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
+    each = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias(fresh(docs, "__text")))
     return each.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    return with_score(docs, model, text_col, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    name = fresh(docs, "__toxicity")
+    return with_score(docs, model, text_col, name).where(F.col(name) < threshold).drop(name)
 
 
 def op2_toxicity(spark, sf_dir):

@@ -165,3 +165,50 @@ def test_toxic_words_of_a_rare_language_have_entries():
     score = model.scorer()
     said = [[score(text(1, bad).encode()) >= 0.5 for _ in range(30)] for bad in (True, False)]
     assert sum(said[0]) >= 25 and sum(said[1]) <= 3
+
+
+def test_runs_are_decoded_as_one_sequence():
+    """A batch of runs, and a long run as a stream, give what a plain Viterbi search over the joined emissions gives."""
+    t, r = Tagger(3, 4, seed=2), np.random.default_rng(4)
+    t.p["a"] = r.normal(0, 1, t.p["a"].shape)
+    a, first = t._rules()
+
+    def plain(e):
+        score, back = first + e[0], []
+        for row in e[1:]:
+            step = score[:, None] + a
+            back.append(step.argmax(0))
+            score = step.max(0) + row
+        out = [int(score.argmax())]
+        for b in reversed(back):
+            out.append(int(b[out[-1]]))
+        return out[::-1]
+
+    runs = [r.normal(0, 2, (n, len(TAGS))) for n in (64, 1, 300, 96, 64, 7)]
+    assert [list(x) for x in t.best(runs)] == [plain(e) for e in runs] and t.best([]) == []
+    for e in runs:
+        for size in (1, 50, 1000):
+            assert np.concatenate(list(t.stream(e[k:k + size] for k in range(0, len(e), size)))).tolist() == plain(e)
+
+
+def test_items_are_found_alike_in_long_runs_and_short_ones(tagger):
+    """Windows that hang together for longer than any internal size, with an item at every offset of a window."""
+    item, pad = "(415) 555-2671", "word 1 and x2 then "
+    for n in (3, 200, 700):
+        for shift in (0, 5, 13, 29):
+            text = pad * n + "y" * shift + " call " + item + " now. " + pad * n
+            assert len(pii.runs_of(pii.window_starts(text))) == 1
+            ((base, added),) = pii.find_all([text], tagger)
+            short = "y" * shift + " call " + item + " now. "
+            assert not base and ("phone", text.index(item), text.index(item) + len(item)) in added, (n, shift, short)
+            assert len(added) == len(set(added)) and all(x[2] <= y[1] for x, y in zip(added, added[1:]))
+
+
+def test_clashing_names_pass_through_or_give_way(spark, tagger):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de", "x", "y", 2.0)], "doc_id long, text string, __masked string, __text string, score double")
+    row = pii.mask(docs, tagger).first()
+    assert row.asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "__masked": "x", "__text": "y", "score": 2.0}
+    model = toxicity.fit([("a b c", 0)])
+    out = toxicity.with_score(docs, model)
+    assert out.columns == ["doc_id", "text", "__masked", "__text", "score"] and out.first()["score"] == 0.0
+    assert toxicity.reject(docs, model).columns == docs.columns
