@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, scratch, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "discard", "fresh", "lower_ascii", "row_key", "scratch", "shared_dir", "spread_text", "table", "written"]
+__all__ = ["LOWER", "UPPER", "discard", "fresh", "keep_rows", "lower_ascii", "row_key", "scratch", "shared_dir", "spread_text", "table", "written"]
 
 #: The only letters that the operators lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,3 +43,19 @@ def spread_text(text: Column, chars: int, parts: int = 20) -> Column:
     room = F.length(t) - size
     some = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substr(t, F.floor(k * room / (parts - 1)).cast("int") + 1, F.lit(size)))
     return F.when(F.length(t) <= chars, t).otherwise(F.array_join(some, " "))
+
+
+def text_hash(name: str) -> Column:
+    """xxhash64 of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(name).cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, hash of text) stands in ``keep(id, h)``, once each. One shuffle serves the join and the removal of repeats."""
+    k, h = fresh(docs, "__k"), fresh(docs, "__h")
+    named = lambda i, t: (F.xxhash64(i, t), t)
+    own = named(F.col(id_col).cast("long"), text_hash(text_col))
+    theirs = named(F.col("id"), F.col("h"))
+    mine = docs.withColumn(h, own[1]).withColumn(k, own[0])
+    kept = keep.select(theirs[0].alias(k), theirs[1].alias(h))
+    return mine.join(kept, [k, h], "left_semi").dropDuplicates([k, h]).drop(k, h).select(*[F.col(f"`{c}`") for c in docs.columns])

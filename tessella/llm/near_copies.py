@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, keep_rows, text_hash, written
 from .components import components
 
 U = np.uint64
@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h long: the text's xxhash64, node long, root long): rows of one root are linked over pairs of at least ``similarity``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(_text(text_col)).alias("h"), _text(text_col).cast("binary").alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), _text(text_col).cast("binary").alias("t"))
     each = written(_keyed(rows, _common(rows, width), similarity, width), "shingles")
     buckets = written(_buckets(each, similarity), "buckets")
     pairs = written(_leads(buckets, similarity), "pairs")
@@ -197,8 +197,4 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHING
     rows repeated with both, one); all columns stay."""
     found = near_copies(docs, similarity, width, id_col, text_col)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("r"))
-    keep = written(best.select(F.col("r.id").alias("__i"), F.col("r.h").alias("__g")), "kept")
-    out = docs.withColumn("__h", F.xxhash64(_text(text_col))).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left_semi")
-    if not found.groupBy("id", "h").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__h"])
-    return out.drop("__h")
+    return keep_rows(docs, written(best.select("r.id", "r.h"), "kept"), id_col, text_col)

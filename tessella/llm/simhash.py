@@ -6,13 +6,15 @@ groups, so each goes into ten buckets, one for each pair of groups (26 bits that
 a bucket, a table of Hamming distances to reference fingerprints (pivots) is computed once; by the triangle inequality a pair whose
 distances to any pivot differ by more than 3 is no link, so pairs are discarded pivot by pivot, by the largest coordinate
 difference, and what survives all pivots is verified bit by bit. A bucket of more than ``DIRECT`` fingerprints is split again
-by the bits that the bucket leaves free (of four groups one must be equal), so no bucket is compared pair by pair as a whole.
+by the bits that the bucket leaves free (of four groups one must be equal), so no bucket is compared pair by pair as a whole; one of more than ``BUCKET``, which
+is counted first, is split so before it is shuffled.
 
 Each bucket emits the star of each of its components, not its pairs; ``components`` joins the stars.
 
 Defined cases: null and empty texts, and texts of white space alone, have fingerprint zero and are linked like any other; fewer than
 three words make one shingle; rows with equal ids are separate documents of one component id; a null id is never the
-smallest of its component unless all ids in it are null (then null); other columns are ignored.
+smallest of its component unless all ids in it are null (then null); very long texts are hashed whole, some shingles at a time; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keep_rows, table, text_hash, written
 from .components import components
 
 U = np.uint64
@@ -36,6 +38,8 @@ DISTANCE = 3
 GROUPS = (13, 13, 13, 13, 12)
 PIVOTS = 32
 DIRECT = 2048
+#: Fingerprints of the largest bucket that goes to a task as it is.
+BUCKET = 1 << 16
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -62,15 +66,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, step: int = 1 << 15) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long)."""
+    """(id, h long: the text's xxhash64, fp long)."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], U)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = np.array([fingerprint(t.as_py()) for t in batch.column(2)], U)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["id", "h", "fp"])
 
-    each = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    return each.mapInArrow(run, "id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    each = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), text.cast("binary").alias("t"))
+    return each.mapInArrow(run, "id long, h long, fp long")
 
 
 def links_among(x: np.ndarray, free: int, distance: int = DISTANCE, refs: np.ndarray | None = None, direct: int = DIRECT):
@@ -136,29 +141,48 @@ def _tables():
     return [(a | b, every & ~(a | b)) for a, b in combinations(masks, 2)]
 
 
+def _finer(tables, parts: int):
+    """Each table with its free bits in ``parts`` groups, one of which must be equal too: (table, shared bits, free bits)."""
+    out = []
+    for k, (shared, free) in enumerate(tables):
+        bits = [b for b in range(64) if free >> b & 1]
+        for some in np.array_split(bits, parts):
+            mask = sum(1 << int(b) for b in some)
+            out.append((k, shared | mask, free & ~mask))
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``distinct(fp)`` to (a, b): a star of links for each component of each bucket."""
+def _keys(masks: list[int]):
+    return F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key")
+
+
+def near_links(distinct: DataFrame, distance: int = DISTANCE, most: int = BUCKET) -> DataFrame:
+    """``distinct(fp)`` to (a, b): a star of links for each component of each bucket. A bucket of more than ``most`` fingerprints is dealt out again by
+    more bits before anything is sent to a task, so no task holds more than the fingerprints that agree in some 36 bits."""
     if distance > len(GROUPS) - 2:
         raise ValueError(f"with {len(GROUPS)} groups in pairs, at most {len(GROUPS) - 2} bits can differ")
     tables = _tables()
+    finer = _finer(tables, distance + 1)
+    # Buckets of either kind by one number: the tables, then the finer ones.
+    kinds = [*tables, *[(m, f) for _, m, f in finer]]
 
     def run(batches):
-        refs, held = pivots(), (np.zeros(0, np.int8), np.zeros(0, U))
+        refs, held = pivots(), [(np.zeros(0, np.int8), np.zeros(0, U))]
+        masks = np.array([m for m, _ in kinds], U)
 
         def linked(t, x):
             """Rows of whole buckets, in order."""
-            shared = np.array([m for m, _ in tables], U)[t]
-            key = x & shared
+            key = x & masks[t]
             cut = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1])) + 1
             at = np.concatenate([[0], cut, [len(x)]])
             a_out, b_out = [], []
             for k in np.flatnonzero(np.diff(at) > 1):
                 y = np.sort(x[at[k]:at[k + 1]])
-                root = stars(len(y), *links_among(y, tables[t[at[k]]][1], distance, refs))
+                root = stars(len(y), *links_among(y, kinds[t[at[k]]][1], distance, refs))
                 tied = root != np.arange(len(y))
                 a_out.append(y[tied])
                 b_out.append(y[root[tied]])
@@ -167,44 +191,59 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
+        def flush():
+            t, x = (np.concatenate(c) for c in zip(*held))
+            return linked(t, x) if len(t) else ()
+
         for batch in batches:
-            t = np.concatenate([held[0], batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)])
-            x = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)])
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int8)
+            x = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             if not len(t):
                 continue
-            key = x & U(tables[t[-1]][0])
-            same = (t == t[-1]) & (key == key[-1])  # the last bucket may go on in the next batch
-            first = int(np.argmax(same)) if same.any() else len(t)
-            held = (t[first:], x[first:])
+            same = (t == t[-1]) & ((x & masks[t]) == (x[-1] & masks[t[-1]]))  # the last bucket may go on in the next batch
+            first = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
             if first:
-                yield from linked(t[:first], x[:first])
-        if len(held[0]):
-            yield from linked(*held)
-
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in tables])).alias("t", "key"))
+                held.append((t[:first], x[:first]))
+                yield from flush()
+                held = [(t[first:], x[first:])]
+            elif len(held[-1][0]) and (held[-1][0][-1] != t[0] or (held[-1][1][-1] ^ x[0]) & masks[t[0]]):
+                yield from flush()
+                held = [(t, x)]
+            else:
+                held.append((t, x))
+        yield from flush()
+
+    keyed = distinct.select("fp", _keys([m for m, _ in tables]))
+    large = keyed.groupBy("t", "key").agg(F.count("*").alias("c")).where(F.col("c") > most).select(F.col("t").alias("lt"), F.col("key").alias("lk"))
+    large = written(large, "large")
+    if not large.isEmpty():
+        again = distinct.select("fp", _keys([m for _, m, _ in finer]))
+        # A finer bucket counts where its table's bucket is large.
+        owner = F.array(*[F.lit(k) for k, _, _ in finer])[F.col("t")]
+        mask = F.array(*[F.lit(_signed(tables[k][0])) for k, _, _ in finer])[F.col("t")]
+        again = again.join(large, (owner == F.col("lt")) & (F.col("fp").bitwiseAND(mask) == F.col("lk")), "left_semi")
+        keyed = keyed.join(large, (F.col("t") == F.col("lt")) & (F.col("key") == F.col("lk")), "left_anti")
+        keyed = keyed.unionByName(again.withColumn("t", F.col("t") + len(tables)))
     return keyed.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, component): component is the smallest id reachable over links of at most ``distance`` bits."""
+    """(id, h long: the text's xxhash64, fp long, root long: one fingerprint of the component, component): component is the smallest id reachable over links of at most ``distance`` bits."""
     each = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(near_links(distinct.select("fp"), distance))
     rooted = distinct.join(roots, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(least, "root").select(F.col("fp").alias("node"), "component")
-    return each.join(of, F.col("fp") == F.col("node")).select("id", "fp", "component")
+    of = rooted.join(least, "root").select(F.col("fp").alias("node"), "root", "component")
+    return each.join(of, F.col("fp") == F.col("node")).select("id", "h", "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id (of rows repeated with that id, one); all columns stay.
-    Rows of a component without any id have nothing that tells them apart and stay."""
+    """``docs`` with one row of each component: of those with the smallest id the one of the smallest text hash (null ids come last; of rows repeated
+    with both, one); all columns stay."""
     found = near_duplicates(docs, distance, id_col, text_col)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("component").alias("__keep")).distinct()
-    out = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return out.unionByName(docs.where(F.col(id_col).isNull()))
-    return out.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("r"))
+    return keep_rows(docs, written(best.select("r.id", "r.h"), "kept"), id_col, text_col)
 
 
 def op3_simhash(spark, sf_dir):

@@ -58,3 +58,30 @@ def test_components_of_a_long_path(spark):
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_large_buckets_are_dealt_out_again(spark):
+    """Many fingerprints that agree in most bits: with buckets split before the shuffle the components are those without."""
+    r = random.Random(6)
+    base = r.getrandbits(64)
+    x = {base ^ (r.getrandbits(20) << r.choice((0, 22, 44))) for _ in range(1500)} | {r.getrandbits(64) for _ in range(200)}
+    x = np.array(sorted(x), np.uint64)
+    signed = x.view(np.int64).tolist()
+    df = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(3)
+    i, j = simhash.links_among(x, 2**64 - 1)
+    root = simhash.stars(len(x), i, j)
+    want = {}
+    for k, v in zip(root.tolist(), signed):
+        want.setdefault(k, set()).add(v)
+    for most in (1 << 16, 40):
+        of = {r["a"]: r["b"] for r in components(simhash.near_links(df, most=most)).collect()}
+        got = {}
+        for v in signed:
+            got.setdefault(of.get(v, v), set()).add(v)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_one_row_stays_of_rows_without_ids_too(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "quite other words here"), (4, "a b c d"), (7, "some text of seven"), (7, "no copy of anything else"), (7, "some text of seven")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == [(4, "a b c d"), (7, "no copy of anything else"), (7, "some text of seven"), (None, "quite other words here")]
