@@ -5,10 +5,11 @@ sample of texts last, the others by their hashes. Two sets of similarity t share
 (n: the size of the set), so each node goes into a bucket for each of these: no pair is missed, whatever the sample holds. Sizes that allow the similarity lie in the same
 band of sizes or in neighbouring ones. A bucket's nodes are first compared with a few leads of their band and of the band below; what
 that links is one component. Then the pairs of a bucket that lie in different components are compared, those within its largest component
-excepted, so a large group of near copies costs a few comparisons for each member and bucket.
+excepted, so a large group of near copies costs a few comparisons for each member and bucket. A candidate pair is first judged by its leading shingles, which bound what
+the whole sets can share; only what they leave is verified on the whole sets.
 
 Only the shingles are made in Python, a text at a time. Buckets, leads, candidate pairs and verification are DataFrame operations that combine before they shuffle and
-spill when they must; no bucket is gathered in one task. Sets of shingles are made for nodes with a candidate only: a bit table of fixed size tells
+spill when they must; no bucket is gathered in one task. Whole sets are made for nodes of a likely pair only: a bit table of fixed size tells
 which rows can be theirs.
 
 Defined cases: null texts, empty texts and texts of white space alone are one node; fewer than five words make one shingle; very long texts have large sets and are
@@ -166,11 +167,27 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.select("h", "t").mapInArrow(run, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that have the similarity, by their whole sets."""
+def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose leading shingles allow the similarity. What two sets share is among the leading ones of both, or comes after
+    those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
+    left, right = (heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("keys").alias("k" + c)) for c in ("a", "b"))
+    most = F.size(F.array_intersect("ka", "kb")) + F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    return pairs.join(left, "a").join(right, "b").where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+
+
+def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame, heads: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) that have the similarity, by their whole sets, which are made for what the leading shingles leave."""
+    likely = written(_likely(pairs, heads, similarity), "likely")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # One text stands for each node.
+    wanted = each.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).select("h")
+    sets = _sets(rows, wanted, width)
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    links = likely.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    out = written(links, "links")
+    discard(likely)
+    return out
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,16 +195,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), _text(text_col).cast("binary").alias("t"))
     each = written(_keyed(rows, _common(rows, width), similarity, width), "shingles")
     buckets = written(_buckets(each, similarity), "buckets")
-    pairs = written(_leads(buckets, similarity), "pairs")
-    # One text stands for each node that can have a partner.
-    nodes = buckets.select("node").distinct()
-    wanted = each.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).select("h")
-    sets = written(_sets(rows, wanted, width), "sets")
-    first = written(_verified(pairs, sets, similarity), "links")
+    heads = written(each.select("node", "n", "keys").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "heads")
+    first = _verified(_leads(buckets, similarity), each, rows, heads, similarity, width)
     rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "band", F.coalesce("b", "node").alias("root"))
-    more = written(_verified(_across(written(rooted, "rooted"), similarity), sets, similarity), "links")
+    rooted = written(rooted, "rooted")
+    discard(buckets)
+    more = _verified(_across(rooted, similarity), each, rows, heads, similarity, width)
     found = components(first.unionByName(more))
-    for spent in (buckets, pairs, sets, first, more):
+    for spent in (rooted, heads, first, more):
         discard(spent)
     return each.select("id", "h", "node").join(found, F.col("node") == F.col("a"), "left").select("id", "h", "node", F.coalesce("b", "node").alias("root"))
 

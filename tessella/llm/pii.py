@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import fresh, spread_text, table
+from .common import spread_text, table
 from .tagger import KINDS, TAGS, Tagger, codes
 
 WINDOW = 64
@@ -291,17 +291,17 @@ def mask_text(text: str, spans) -> str:
 def mask(docs: DataFrame, model: Tagger, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of a text masked; null texts stay null."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(batch.num_columns - 1)]
+            texts = batch.column(at).to_pylist()
             found = find_all([t or "" for t in texts], model)
             rewritten = [None if t is None else mask_text(t, b + a) for t, (b, a) in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rewritten, pa.string())], [*batch.schema.names[:-1], masked])
+            yield pa.RecordBatch.from_arrays([pa.array(rewritten, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    text, masked = fresh(docs, "__text"), fresh(docs, "__masked")
-    each = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").cast("string").alias(text))
-    out = each.mapInArrow(run, StructType([*docs.schema.fields, StructField(masked, StringType())]))
-    return out.select(*[F.col(masked).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    each = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return each.mapInArrow(run, StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema.fields]))
 
 
 def _listed(spans):

@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import fresh, spread_text, table
 
@@ -58,6 +58,8 @@ FOLDS = 4
 PRIOR = 0.1
 #: Length differences beyond these count as these.
 LOWEST, HIGHEST = -8, 12
+#: Rows of one piece of what scoring returns.
+ROWS = 1000
 
 
 @dataclass
@@ -127,37 +129,41 @@ def kind(text: bytes) -> bytes:
     return np.unique(grams(text))[:4].tobytes()
 
 
-def _spread(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each string's hash and how many kinds of text have it; how many kinds there are."""
-    kinds: dict[bytes, np.ndarray] = {}
-    for t in texts:
-        own = np.unique(grams(t))
-        lead = own[:4].tobytes()
-        kinds[lead] = np.union1d(kinds[lead], own) if lead in kinds else own
-    every = np.concatenate([np.zeros(0, np.uint32), *kinds.values()])
-    return *np.unique(every, return_counts=True), len(kinds)
-
-
-def _together(parts):
-    """Counts of several folds in one."""
-    values, counts = np.concatenate([v for v, _, _ in parts]), np.concatenate([c for _, c, _ in parts])
-    found, at = np.unique(values, return_inverse=True)
-    return found, np.bincount(at, counts, len(found)), sum(n for _, _, n in parts)
-
-
-def surplus(bad, good) -> np.ndarray:
-    """The hashes with a significant surplus in toxic texts, ascending; both sides as of ``_spread``."""
-    (v, c, n_bad), (w, d, n_good) = bad, good
-    if not len(v) or not n_good:
-        return v
-    at = np.minimum(np.searchsorted(w, v), max(0, len(w) - 1))
-    g = np.where(w[at] == v, d[at], 0) if len(w) else np.zeros(len(v))
-    total, share = c + g, n_bad / (n_bad + n_good)
-    q = c / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0)
-        tail = np.where(q > share, -total * (q * np.log(q / share) + rest), 0.0)  # Chernoff's bound of the binomial tail
-    return v[(c >= LEAST_TEXTS) & (c / n_bad >= SURPLUS * (g + 1) / (n_good + 1)) & (tail <= SIGNIFICANCE)]
+def _places(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where those of ``values`` stand that the ascending ``among`` has."""
+    at = np.minimum(np.searchsorted(among, values), max(0, len(among) - 1))
+    return at[among[at] == values] if len(among) else at[:0]
+
+
+class Counts:
+    """The strings that ``LEAST_TEXTS`` kinds of toxic text have, and how many kinds of toxic and of ordinary text of each fold have each."""
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray, folds: np.ndarray):
+        # One text stands for each kind of a label.
+        lead = {(kind(t), y): k for k, (t, y) in reversed(list(enumerate(zip(texts, labels.tolist()))))}
+        self.lead = sorted(lead.values())
+        every = np.sort(np.concatenate([np.zeros(0, np.uint32), *(np.unique(grams(texts[k])) for k in self.lead if labels[k])]))
+        often = every[LEAST_TEXTS - 1:][every[LEAST_TEXTS - 1:] == every[:len(every) - LEAST_TEXTS + 1]] if len(every) >= LEAST_TEXTS else every[:0]
+        self.strings = np.unique(often)
+        self.seen = np.zeros((2, FOLDS, len(self.strings)), np.int64)
+        self.texts = np.zeros((2, FOLDS), np.int64)
+        for k in self.lead:
+            self.seen[int(labels[k]), folds[k], _places(self.strings, np.unique(grams(texts[k])))] += 1
+            self.texts[int(labels[k]), folds[k]] += 1
+
+    def surplus(self, without: int | None) -> np.ndarray:
+        """The strings with a significant surplus in toxic texts, ascending, of all folds but one."""
+        use = [f for f in range(FOLDS) if f != without]
+        g, c = self.seen[:, use].sum(1)
+        n_good, n_bad = self.texts[:, use].sum(1)
+        if not n_good or not n_bad:
+            return self.strings[:0]
+        total, share = np.maximum(c + g, 1), n_bad / (n_bad + n_good)
+        q = c / total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest = np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0)
+            tail = np.where(q > share, -total * (q * np.log(q / share) + rest), 0.0)  # Chernoff's bound of the binomial tail
+        return self.strings[(c >= LEAST_TEXTS) & (c / n_bad >= SURPLUS * (g + 1) / (n_good + 1)) & (tail <= SIGNIFICANCE)]
 
 
 def passages(text: bytes, marked: np.ndarray) -> list[bytes]:
@@ -173,17 +179,18 @@ def passages(text: bytes, marked: np.ndarray) -> list[bytes]:
     return [text[a:b] for a, b in turn.reshape(-1, 2).tolist()]
 
 
-def _pair(bad: list[bytes], good: list[bytes], counts_bad, counts_good) -> tuple[bytes, bytes]:
+def _pair(bad: list[bytes], good: list[bytes], marked: np.ndarray) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary."""
-    marked = surplus(counts_bad, counts_good)
-    samples = [p for t in {kind(t): t for t in reversed(bad)}.values() for p in passages(t, marked)]
-    every = [t[i:i + WINDOW] for t in good for i in range(0, len(t), WINDOW)]
+    # The trainer reads the samples stretch by stretch: in the order of their texts' hashes, no stretch belongs to one language or source.
+    samples = [p for t in sorted(bad, key=zlib.crc32) for p in passages(t, marked)]
+    n = sum(-(-len(t) // WINDOW) for t in good)
+    every = [w for k, w in enumerate(t[i:i + WINDOW] for t in good for i in range(0, len(t), WINDOW)) if k % max(1, n // 50_000) == 0]
     size = min(TOXIC_BYTES[1], max(TOXIC_BYTES[0], sum(map(len, samples)) // 8))
-    return dictionary(ORDINARY_BYTES, every[::max(1, len(every) // 50_000)], SEGMENTS[0]), dictionary(size, samples, SEGMENTS[1]) if samples else b""
+    return dictionary(ORDINARY_BYTES, every, SEGMENTS[0]), dictionary(size, samples, SEGMENTS[1]) if samples else b""
 
 
 def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
-    """From (text, label) pairs; deterministic for their order. ``totals``: how many rows of each label there are, where ``rows`` is a sample."""
+    """From (text, label) pairs, deterministic for their order; fold ``FOLDS`` is none, so the last dictionaries are trained on all. ``totals``: how many rows of each label there are, where ``rows`` is a sample."""
     base = float(np.mean([y for _, y in rows])) if rows else 0.0
     if totals:
         base = totals.get(1, 0) / max(1, sum(totals.values()))
@@ -192,12 +199,13 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
     if not 0 < labels.sum() < len(labels):
         return Model(b"", b"", np.zeros(0), np.zeros(0), base)
     fold = np.array([zlib.crc32(kind(t)) % FOLDS for t in texts])  # near copies stand in one fold
-    part = lambda y, f, same: [t for t, k, z in zip(texts, fold, labels) if z == y and (k == f) == same]
-    counts = {(y, f): _spread(part(y, f, True)) for y in (0, 1) for f in range(FOLDS)}
-    others = lambda y, f: _together([counts[y, k] for k in range(FOLDS) if k != f])
+    counts = Counts(texts, labels, fold)
+    lead = np.zeros(len(texts), bool)
+    lead[counts.lead] = True
+    pair = lambda f: _pair([texts[k] for k in np.flatnonzero(lead & (labels == 1) & (fold != f))], [texts[k] for k in np.flatnonzero((labels == 0) & (fold != f))], counts.surplus(f))
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     for f in range(FOLDS):
-        differ = _differ(*_pair(part(1, f, False), part(0, f, False), others(1, f), others(0, f)))
+        differ = _differ(*pair(f))
         for k in np.flatnonzero(fold == f):
             found[k] = differ(texts[k])
     kinds = HIGHEST - LOWEST + 1
@@ -215,8 +223,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    every = [[t for t, y in zip(texts, labels) if y == z] for z in (1, 0)]
-    return Model(*_pair(*every, others(1, None), others(0, None)), ratio, w, base)
+    return Model(*pair(FOLDS), ratio, w, base)
 
 
 def held_out(ident: Column) -> Column:
@@ -239,15 +246,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """All columns of ``docs`` (but one called ``name``) and the score."""
 
+    kept = [f for f in docs.schema.fields if f.name != name]
+    own = [f.name for f in kept].index(text_col) if text_col != name and docs.schema[text_col].dataType == StringType() else len(kept)
+
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = pa.array([score(t.as_py() or b"") for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], name])
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                scores = pa.array([score(t.as_py() or b"") for t in some.column(own).cast(pa.binary())], pa.float64())
+                yield pa.RecordBatch.from_arrays([*some.columns[:len(kept)], scores], [*some.schema.names[:len(kept)], name])
 
-    kept = [f for f in docs.schema.fields if f.name != name]
-    each = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").cast("binary").alias(fresh(docs, "__text")))
+    each = docs.select(*[F.col(f"`{f.name}`") for f in kept], *([F.col(f"`{text_col}`").cast("string").alias(fresh(docs, "__text"))] if own == len(kept) else []))
     return each.mapInArrow(run, StructType([*kept, StructField(name, DoubleType())]))
 
 

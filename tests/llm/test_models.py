@@ -212,3 +212,38 @@ def test_clashing_names_pass_through_or_give_way(spark, tagger):
     out = toxicity.with_score(docs, model)
     assert out.columns == ["doc_id", "text", "__masked", "__text", "score"] and out.first()["score"] == 0.0
     assert toxicity.reject(docs, model).columns == docs.columns
+
+
+def test_score_is_that_of_a_plain_version():
+    """Lengths of windows behind both dictionaries, their log-likelihood ratios summed, and the logistic of it, written out."""
+    import math
+    import random
+
+    import zstandard
+
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    text = lambda bad: " ".join(r.choice(["worthless", "idiot"]) if bad and r.random() < 0.2 else r.choice(vocabulary) for _ in range(60))
+    model = toxicity.fit([(text(True), 1) for _ in range(50)] + [(text(False), 0) for _ in range(100)])
+    score = model.scorer()
+
+    def length(content, window):
+        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=6, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(window))
+
+    for t in (text(True), text(False), "", "É  IDIOT\n\tidiot É", "x" * 500):
+        norm = (" " + " ".join("".join(c.lower() if c.isascii() else c for c in t).split()) + " ").encode()
+        cuts, at = [], 0
+        while True:
+            cuts.append(norm[at:at + 64])
+            at += 48
+            if at >= len(norm) - 16:
+                break
+        total = 0.0
+        for w in cuts:
+            d = max(-8, min(12, length(model.ordinary, w) - length(model.toxic + model.ordinary, w)))
+            total += model.ratio[d + 8]
+        z = model.weight[0] + model.weight[1] * total + model.weight[2] * math.log(len(cuts))
+        assert abs(score(t.encode()) - 1 / (1 + math.exp(-z))) < 1e-9
