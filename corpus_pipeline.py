@@ -4,8 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 stage's docs. All but the last return the columns of ``documents``.
 
 1. toxicity: documents that the compression-distance classifier rejects go.
-2. simhash: of each group of near duplicates, the document of the smallest id stays: first of what operator 3 links, then of what
-   is left with a Jaccard similarity of 0.8 or more over five-word shingles (``near_copies``: candidates miss no pair, each is verified).
+2. simhash: of each group of near duplicates, the document of the smallest id stays. Texts are in one group where operator 3 links them, or where their
+   five-word shingles have a Jaccard similarity of 0.8 or more (``near_copies``: candidates miss no pair, each is verified).
 3. decontaminate: documents with a window of a benchmark item go.
 4. pii: personal data is masked by its kind in brackets; ``n_chars`` follows the text.
 5. pieces: the text becomes SentencePiece ids, whose count, checksum and round trip are returned.
@@ -28,11 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By operator 3 alone."""
     return simhash.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(written(drop_near_duplicates(spark, docs, sf_dir), "pipeline-distinct"))
+    return near_copies.keep_one(docs, groups=simhash.near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, every such pair found, each verified exactly.
 
 Words are those of ``simhash``. Texts with equal sets are one node. Shingles are put in one order for all texts, those that are common in a
-sample of texts last, the others by their hashes. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each
+sample of texts (which grows with the corpus) last, the others by their hashes, so a passage that many texts share seldom brings them together. Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each
 (n: the size of the set), so each node goes into a bucket for each of these: no pair is missed, whatever the sample holds. Sizes that allow the similarity lie in the same
 band of sizes or in neighbouring ones. A bucket's nodes are first compared with a few leads of their band and of the band below; what
 that links is one component. Then the pairs of a bucket that lie in different components are compared, those within its largest component
@@ -32,12 +32,15 @@ from .components import components
 U = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Texts (about) whose shingles are counted for the order, how many of them have a common shingle, and the longest list of these.
-SAMPLE = 8000
-COMMON = 3
-MOST_COMMON = 100_000
+#: One text in so many is counted for the order; a shingle that ``COMMON`` of these have is common; the longest list of such shingles that is collected,
+#: and the size of the byte table that it becomes.
+SAMPLE = 4
+COMMON = 2
+MOST_COMMON = 400_000
+RANKS = 1 << 22
 #: Nodes of a bucket and band with which all others of it are compared first.
-LEADS = 4
+LEADS = 8
+SEEDS = 16
 #: Bits of the table that tells rows of candidates.
 TABLE_BITS = 1 << 22
 #: Texts in one piece of what Python returns.
@@ -56,16 +59,12 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[min(width, len(words)) - 1:].tolist())], U))
 
 
-def leading(s: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first n - ceil(t n) + 1 of a set in the order of all texts. ``common``: (hash, rank) of common shingles, ascending hashes."""
+def leading(s: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first n - ceil(t n) + 1 of a set in the order of all texts: by rank, then by hash. ``ranks``: a table by the hashes' low bits."""
     if not len(s):
         return s
     n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-    rank = np.zeros(len(s), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common[:, 0], s), len(common) - 1)
-        rank = np.where(common[at, 0] == s, common[at, 1], 0).astype(np.int64)
-    return s[np.argsort(rank, kind="stable")[:n]]
+    return s[np.argsort(ranks[s & U(len(ranks) - 1)], kind="stable")[:n]]
 
 
 def _node(s: np.ndarray) -> int:
@@ -76,19 +75,19 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _common(rows: DataFrame, width: int) -> np.ndarray:
-    """(hash, rank): from a sample of texts, by the hash of the text."""
+def _ranks(rows: DataFrame, width: int) -> np.ndarray:
+    """A byte for each value of a hash's low bits: 0, or the higher the more texts of a sample have such a shingle. Shingles that share an entry share a rank, which does no harm."""
 
     def run(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], ["s"])
+        for batch in _pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py(), width) for t in batch.column(0)] or [np.zeros(0, U)]).view(np.int64))], ["s"])
 
-    part = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod(F.col("h"), F.lit(part)) == 0).select("t").distinct().mapInArrow(run, "s long")
-    top = some.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
-    out = np.array([(r["s"], r["count"]) for r in top], np.int64).reshape(-1, 2).view(U)
-    return out[np.argsort(out[:, 0])]
+    some = rows.where(F.pmod(F.col("h"), F.lit(SAMPLE)) == 0).select("t").distinct().mapInArrow(run, "s long")
+    top = some.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
+    out = np.zeros(RANKS, "u1")
+    at = top.column(0).to_numpy().view(U) & U(RANKS - 1)
+    np.maximum.at(out, at, np.minimum(255, 8 * np.log2(top.column(1).to_numpy().astype(float))).astype("u1"))
+    return out
 
 
 def _pieces(batches):
@@ -98,13 +97,13 @@ def _pieces(batches):
             yield batch.slice(a, ROWS)
 
 
-def _keyed(rows: DataFrame, common: np.ndarray, similarity: float, width: int) -> DataFrame:
+def _keyed(rows: DataFrame, ranks: np.ndarray, similarity: float, width: int) -> DataFrame:
     """(id, h, node, n, keys)."""
 
     def run(batches):
         for batch in _pieces(batches):
             sets = [shingles(t.as_py(), width) for t in batch.column(2)]
-            first = [leading(s, common, similarity).view(np.int64) for s in sets]
+            first = [leading(s, ranks, similarity).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "h", "node", "n", "keys"])
 
     return rows.mapInArrow(run, "id long, h long, node long, n long, keys array<long>")
@@ -129,8 +128,9 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _leads(buckets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each node of a bucket with the leads of its band and of the band below, where the sizes allow the similarity. Leads are the smallest
-    node and those of the lowest hashes for ``LEADS`` - 1 seeds: with several, a large group seldom stays in parts."""
-    orders = [F.struct("n", "node"), *[F.struct(F.xxhash64("node", F.lit(k)).alias("n"), "node") for k in range(1, LEADS)]]
+    node and those of the lowest hashes for ``LEADS`` - 1 of the seeds, which depend on the bucket: with several, a large group seldom stays in parts."""
+    turn = F.col("key").bitwiseAND(F.lit(SEEDS - 1))  # buckets with much the same nodes don't all choose the same ones
+    orders = [F.struct("n", "node"), *[F.struct(F.xxhash64("node", turn, F.lit(k)).alias("n"), "node") for k in range(1, LEADS)]]
     lead = buckets.groupBy("key", "band").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("leads"))
     both = lead.unionByName(lead.withColumn("band", F.col("band") + 1))
     found = buckets.join(both, ["key", "band"]).select(F.col("node").alias("p"), F.explode("leads").alias("q")).where("p <> q")
@@ -140,14 +140,23 @@ def _leads(buckets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _across(rooted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of buckets (key, node, n, band, root), the pairs of different roots whose sizes allow the similarity."""
+    """(a, b): of buckets (key, node, n, band, root), the pairs of different roots whose leading shingles allow the similarity. A pair meets once in each bucket that
+    it shares, so the number of its meetings is that of the leading shingles shared."""
     counted = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
     mixed = counted.where("roots > 1").select("key", F.col("top.root").alias("top"))
     members = rooted.join(mixed, "key")
     probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     # Of two nodes that are both outside the largest component, the larger one asks.
     found = probes.join(members, ["key", "band"]).where((F.col("r") != F.col("root")) & _fits(F.col("n"), F.col("m"), similarity) & ((F.col("root") == F.col("top")) | (F.col("p") > F.col("node"))))
-    return _ordered(found.select("p", F.col("node").alias("q")))
+    pairs = found.groupBy(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).agg(F.count("*").alias("c"), F.first(F.col("n") + F.col("m")).alias("both"), F.first(F.greatest("n", "m")).alias("top"))
+    rest = F.ceil(similarity * F.col("top") - 1e-9) - 1  # shingles of the larger set that aren't leading ones
+    return pairs.where(_allow(F.col("c"), rest, F.col("both"), similarity)).select("a", "b")
+
+
+def _allow(shared: Column, rest: Column, both: Column, similarity: float) -> Column:
+    """Whether two sets of ``both`` shingles in sum can have the similarity: what they share is among the leading ones of both, or comes after
+    those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
+    return shared + rest >= similarity / (1 + similarity) * both - 1e-6
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -168,16 +177,16 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose leading shingles allow the similarity. What two sets share is among the leading ones of both, or comes after
-    those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
+    """The pairs (a, b) whose leading shingles allow the similarity."""
     left, right = (heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("keys").alias("k" + c)) for c in ("a", "b"))
-    most = F.size(F.array_intersect("ka", "kb")) + F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
-    return pairs.join(left, "a").join(right, "b").where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    rest = F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(_allow(F.size(F.array_intersect("ka", "kb")), rest, F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame, heads: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) that have the similarity, by their whole sets, which are made for what the leading shingles leave."""
-    likely = written(_likely(pairs, heads, similarity), "likely")
+def _verified(likely: DataFrame, each: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) that have the similarity, by their whole sets, which are made for the nodes of these pairs only."""
+    likely = written(likely, "likely")
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # One text stands for each node.
     wanted = each.select("node", "h").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")).select("h")
@@ -193,23 +202,33 @@ def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame, heads: DataFra
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h long: the text's xxhash64, node long, root long): rows of one root are linked over pairs of at least ``similarity``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), _text(text_col).cast("binary").alias("t"))
-    each = written(_keyed(rows, _common(rows, width), similarity, width), "shingles")
+    each = written(_keyed(rows, _ranks(rows, width), similarity, width), "shingles")
     buckets = written(_buckets(each, similarity), "buckets")
     heads = written(each.select("node", "n", "keys").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "heads")
-    first = _verified(_leads(buckets, similarity), each, rows, heads, similarity, width)
+    first = _verified(_likely(_leads(buckets, similarity), heads, similarity), each, rows, similarity, width)
     rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "band", F.coalesce("b", "node").alias("root"))
     rooted = written(rooted, "rooted")
     discard(buckets)
-    more = _verified(_across(rooted, similarity), each, rows, heads, similarity, width)
+    more = _verified(_across(rooted, similarity), each, rows, similarity, width)
     found = components(first.unionByName(more))
     for spent in (rooted, heads, first, more):
         discard(spent)
     return each.select("id", "h", "node").join(found, F.col("node") == F.col("a"), "left").select("id", "h", "node", F.coalesce("b", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest id, null ids last (of rows with that id, the one of the smallest text hash; of
-    rows repeated with both, one); all columns stay."""
-    found = near_copies(docs, similarity, width, id_col, text_col)
+    rows repeated with both, one); all columns stay. ``groups`` (id, h: the text's xxhash64, root): groups of another operator; near copies and these
+    are one group where they have a row in common."""
+    found = near_copies(docs, similarity, width, id_col, text_col).select("id", "h", "root")
+    if groups is not None:
+        key = lambda c: F.xxhash64("id", "h").alias(c)
+        other = groups.select(key("ok"), F.col("h").alias("oh"), F.col("root").alias("of")).distinct()
+        both = written(found.distinct().join(other, (key("k") == F.col("ok")) & (F.col("h") == F.col("oh"))).select("id", "h", "root", "of"), "groups")
+        # Within a group of the other kind, roots are linked with the smallest.
+        pairs = both.select("of", "root").distinct()
+        least = pairs.groupBy("of").agg(F.min("root").alias("b"), F.max("root").alias("top")).where("b <> top")
+        links = components(pairs.join(least, "of").where("root <> b").select(F.col("root").alias("a"), "b"))
+        found = both.join(links, F.col("root") == F.col("a"), "left").select("id", "h", F.coalesce("b", "root").alias("root"))
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("r"))
     return keep_rows(docs, written(best.select("r.id", "r.h"), "kept"), id_col, text_col)

@@ -60,3 +60,13 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (3, "other words stand in this one"), (None, "no id has this text here")], "doc_id long, text string")
     got = sorted(((x["doc_id"], x["text"]) for x in near_copies.keep_one(docs).collect()), key=str)
     assert got == [(3, "a b c d e f"), (3, "other words stand in this one"), (None, "no id has this text here")]
+
+
+def test_groups_of_another_operator_are_joined(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "no copy"), (4, "none either"), (5, "nor this"), (None, "nor this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    groups = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.when(F.col("doc_id").isin(2, 4), 7).otherwise(F.coalesce("doc_id", F.lit(99)) + 10).cast("long").alias("root"))
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs, groups=groups).collect()) == [1, 3, 5]
