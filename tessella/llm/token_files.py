@@ -13,8 +13,8 @@ Encoding looks words up in a dictionary that the tokenizers library fills: the b
 precedes a non-space, nor a letter or digit with a following sign or line end, so a text is cut there and each distinct part is encoded by the library once. Texts with characters outside
 ``PLAIN``, runs of spaces or the text of a special token are encoded by the library as a whole.
 
-Defined cases: a null or empty text is the end id alone; null ids come first; rows with equal ids are ordered by text;
-other columns are ignored; an empty table writes no shards.
+Defined cases: a null or empty text is the end id alone; null ids come first; rows with equal ids are ordered by a hash of the text, then by text, so that
+one id may span tasks; a text longer than a shard is a shard of its own; other columns are ignored; an empty table writes no shards.
 """
 
 from __future__ import annotations
@@ -295,7 +295,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
     each = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     raw = each.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    dealt = each.repartitionByRange(max(1, -(-raw // partition_bytes)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+    # By id and then by the text's hash, so that rows without an id, or of one id, are dealt out too.
+    order = [F.col("id").asc_nulls_first(), F.col("h")]
+    dealt = each.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-raw // partition_bytes)), *order).sortWithinPartitions(*order, "t").drop("h")
     manifest = written(dealt.mapInArrow(run, "part long, shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     # One row for each shard file: the only thing that is ordered in one task.
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
