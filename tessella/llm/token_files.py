@@ -101,55 +101,60 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _alternate(hit: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Of each run of overlapping occurrences every other one, from the left."""
-    out, rest = np.zeros(len(hit), bool), hit.copy()
-    for _ in range(rounds):
-        first = rest.copy()
-        first[1:] &= ~rest[:-1]
-        if not first.any():
-            return out
-        out |= first
-        rest &= ~first
-        rest[1:] &= ~first[:-1]
-    at = np.flatnonzero(rest)  # what is left of long runs begins at an occurrence that counts
-    if len(at):
-        lead = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(at) > 1]), np.arange(len(at)), 0))
-        out[at[(np.arange(len(at)) - lead) % 2 == 0]] = True
-    return out
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """Of ascending places, every other one of each run of neighbours, from the left."""
+    k = np.arange(len(at))
+    lead = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, k, 0))
+    return (k - lead) % 2 == 0
+
+
+def _numbers(code: np.ndarray, slot: np.ndarray, pair: np.ndarray, pair_slot: np.ndarray, slots: int) -> np.ndarray:
+    """The number of each code among the ascending ``pair``, from 1; 0: none. A table of slots tells most; pairs that share a slot are searched for."""
+    table = np.zeros(slots, np.uint32)
+    table[pair_slot] = np.arange(1, len(pair) + 1, dtype=np.uint32)
+    held = table[pair_slot] == np.arange(1, len(pair) + 1)
+    number = table[slot]
+    number[np.append(pair[:1], pair)[number] != code] = 0
+    rest = pair[~held]
+    if len(rest):
+        shared = np.zeros(slots, bool)
+        shared[pair_slot[~held]] = True
+        open_ = np.flatnonzero(shared[slot] & (number == 0))
+        near = np.minimum(np.searchsorted(rest, code[open_]), len(rest) - 1)
+        same = rest[near] == code[open_]
+        number[open_[same]] = (np.flatnonzero(~held)[near[same]] + 1).astype(np.uint32)
+    return number
 
 
 def repair(symbols: np.ndarray, end: int, min_count: int = MIN_COUNT):
-    """(symbols, rules, first rule of each round and one more). ``end`` closes a document and is in no pair; nonterminals count from end + 1."""
-    seq, rules, starts = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), [0]
+    """(symbols, rules, first rule of each round and one more). ``end`` closes a document and is in no pair; nonterminals count from end + 1. All occurrences of a
+    frequent pair are replaced, or overlap one that is; so after the first round only pairs with a symbol of the round before can be frequent."""
+    seq, rules, starts, slots = symbols.astype(np.uint32), np.zeros((0, 2), np.uint32), [0], 1 << 20
     while len(seq) > 1:
-        # A pair as one number: of 32 bits while symbols have 16. end itself is below the largest symbol, so the largest number is no pair.
+        # A pair as one number: of 32 bits while symbols have 16.
         kind, half, odd = (np.uint32, 16, 0x9E3779B1) if end + len(rules) < 0xFFFF else (np.uint64, 32, 0x9E3779B97F4A7C15)
-        code = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
-        none = np.iinfo(kind).max
-        closing = seq == end
-        code[closing[:-1] | closing[1:]] = none
+        if len(starts) == 1:
+            closing = seq == end
+            at = np.flatnonzero(~(closing[:-1] | closing[1:]))
+        else:
+            new = seq > end + starts[-2]
+            at = np.flatnonzero(new[:-1] | new[1:])
+            at = at[(seq[at] != end) & (seq[at + 1] != end)]
+        code = (seq[at].astype(kind) << kind(half)) | seq[at + 1]
         slot = ((code * kind(odd)) >> kind(2 * half - 20)).astype(np.int32)
         # A pair is at most as frequent as its slot of the hash, so only pairs of frequent slots are counted.
-        some = code[(np.bincount(slot, minlength=1 << 20) >= min_count)[slot]]
-        pair, count = np.unique(some, return_counts=True)
-        ok = (count >= min_count) & (pair != none)
-        pair, count = pair[ok], count[ok]
+        often = (np.bincount(slot, minlength=slots) >= min_count)[slot]
+        at, code, slot = at[often], code[often], slot[often]
+        pair, count = np.unique(code, return_counts=True)
+        pair = pair[count >= min_count]
         if not len(pair):
             break
-        # Which positions have a chosen pair: by a table of the slots, then by comparison. A pair whose slot went to another waits for the next round.
-        slots = np.zeros(1 << 20, np.uint32)
-        at = ((pair * kind(odd)) >> kind(2 * half - 20)).astype(np.int32)
-        slots[at] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        held = slots[at] == np.arange(1, len(pair) + 1)
-        pair = pair[held]
-        slots[:] = 0
-        slots[at[held]] = np.arange(1, len(pair) + 1, dtype=np.uint32)
-        at = slots[slot]
-        chosen = _alternate((np.append(kind(none), pair)[at] == code) & (at > 0))
-        np.copyto(seq[:-1], at + np.uint32(end + len(rules)), where=chosen)
+        number = _numbers(code, slot, pair, ((pair * kind(odd)) >> kind(2 * half - 20)).astype(np.int32), slots)
+        hit = np.flatnonzero(number)
+        hit = hit[_alternate(at[hit])]
+        seq[at[hit]] = number[hit] + np.uint32(end + len(rules))
         keep = np.ones(len(seq), bool)
-        np.logical_not(chosen, out=keep[1:])
+        keep[at[hit] + 1] = False
         seq = seq[keep]
         rules = np.concatenate([rules, np.stack([pair >> kind(half), pair & kind((1 << half) - 1)], 1).astype(np.uint32)])
         starts.append(len(rules))
@@ -186,6 +191,11 @@ def pack_shard(ids: list, documents: list[bytes], vocabulary: int, end_id: int =
         np.concatenate([[0], closing + 1]).astype("<u8").tobytes(), np.concatenate([[0], np.cumsum(counts)]).astype("<u8").tobytes(), _split(seq, high)])
 
 
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Shard:
     """A shard file, read: ids, nulls, token_starts, and documents on demand."""
 
@@ -236,7 +246,18 @@ class Shard:
         return np.where(seq == self.end, np.uint32(self.end_id), seq).astype("<u4")
 
     def all(self) -> np.ndarray:
-        return self.expand(self.symbols)
+        """All ids, by a table of every rule's expansion. A round's rules stand for at most an eighth of the shard together, so the table is small."""
+        first, size, flat = np.zeros(self.end + 1 + len(self.rules), np.int64), np.ones(self.end + 1 + len(self.rules), np.int64), [np.arange(self.end + 1, dtype="<u4")]
+        first[:self.end + 1] = np.arange(self.end + 1)
+        flat[0][self.end] = self.end_id
+        size[self.end + 1:] = self.sizes
+        table = flat[0]
+        for a, b in zip(self.starts[:-1], self.starts[1:]):
+            both = self.rules[a:b].reshape(-1)
+            made = size[self.end + 1 + a:self.end + 1 + b]
+            first[self.end + 1 + a:self.end + 1 + b] = len(table) + np.cumsum(made) - made
+            table = np.concatenate([table, table[_spread(first[both], size[both])]])
+        return table[_spread(first[self.symbols], size[self.symbols])]
 
     def document(self, k: int, begin: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of document k, or some of them: only the symbols that hold those are expanded."""
@@ -294,10 +315,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             yield row()
 
     each = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    raw = each.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    # By id and then by the text's hash, so that rows without an id, or of one id, are dealt out too.
+    found = each.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("raw"), F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).first()
+    # By id; where ids repeat or are missing, by the text's hash too, so that rows of one id are dealt out. The order of all rows is the same either way.
     order = [F.col("id").asc_nulls_first(), F.col("h")]
-    dealt = each.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-raw // partition_bytes)), *order).sortWithinPartitions(*order, "t").drop("h")
+    by = order[:1] if found["ids"] >= 0.9 * found["n"] else order
+    dealt = each.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-found["raw"] // partition_bytes)), *by).sortWithinPartitions(*order, "t").drop("h")
     manifest = written(dealt.mapInArrow(run, "part long, shard long, path string, n_docs long, n_tokens long, n_bytes long"), "manifest")
     # One row for each shard file: the only thing that is ordered in one task.
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -139,3 +139,17 @@ def test_search_of_a_whole_text_commits_at_its_spaces(vocabulary, pairs):
         assert ids == list(memoryview(vocabulary.encode([t])[0]).cast("I"))
         # A commit at the front of every run of spaces; long runs of other characters add their own.
         assert vocabulary.commits - before >= len(pieces.CHUNK.findall(marked)) - 1
+
+
+def test_no_frequent_pair_is_left():
+    """On words that repeat with overlaps, the result of the rounds has no pair that occurs often, and the ids come back."""
+    r = np.random.default_rng(5)
+    words = [r.integers(0, 300, int(r.integers(2, 6))) for _ in range(400)]
+    docs = [np.concatenate([words[int(k)] for k in (r.random(300) ** 3 * 400).astype(int)]).astype("<u4") for _ in range(60)]
+    flat = np.concatenate([np.append(d, 50257) for d in docs]).astype("<u4")
+    seq, rules, starts = token_files.repair(flat, 50257)
+    inner = (seq[:-1] != 50257) & (seq[1:] != 50257)
+    pairs, counts = np.unique(np.stack([seq[:-1][inner], seq[1:][inner]]), axis=1, return_counts=True)
+    assert len(starts) > 4 and (counts[pairs[0] != pairs[1]] < token_files.MIN_COUNT).all()
+    s = token_files.Shard(token_files.pack_shard(list(range(60)), [d.tobytes() for d in docs], 50257))
+    assert (s.all() == np.where(flat == 50257, 2, flat)).all() and all((s.document(k)[:-1] == d).all() for k, d in enumerate(docs))
