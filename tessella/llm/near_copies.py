@@ -23,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, keep_rows, text_hash, written
@@ -110,12 +110,21 @@ def _keyed(rows: DataFrame, ranks: np.ndarray, similarity: float, width: int) ->
 
 
 def _buckets(each: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, n, band): nodes whose key another node has too, each once."""
+    """(node, key, n, few, most, before, band): nodes whose key another node has too, each once; few: whether the key will do for the smaller of two sets; most: what the
+    node shares with any other at most."""
     # A little wider than 1 / similarity, so that rounding never parts two sizes by more than one band.
     band = F.floor(F.log(F.col("n")) / (-math.log(similarity) * (1 + 1e-6))).cast("int")
-    keyed = each.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    return keyed.join(shared, "key", "left_semi").distinct().withColumn("band", band)
+    # Of two similar sets the smaller one shares at least 2 t / (1 + t) of its shingles, so for it an even shorter start of the order will do.
+    few = F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-9) + 1
+    keyed = each.select("node", "n", F.posexplode("keys").alias("at", "key")).select("node", "n", "key", "at", (F.col("at") < few).alias("few"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("few").alias("use")).where("lo <> hi").select("key", "use")
+    found = written(keyed.join(shared, "key").distinct(), "shared")
+    # A set shares no more with any other than its leading shingles that another has, and all that aren't leading ones.
+    # With before, the leading ones that another has and that come before the key, this bounds what a pair shares on either side of it.
+    one = Window.partitionBy("node")
+    most = F.count("*").over(one) + F.ceil(similarity * F.col("n") - 1e-9) - 1
+    numbered = found.select("*", most.alias("most"), (F.row_number().over(one.orderBy("at")) - 1).alias("before"))
+    return numbered.where("use").drop("use", "at").withColumn("band", band)
 
 
 def _fits(n: Column, m: Column, similarity: float) -> Column:
@@ -134,29 +143,30 @@ def _leads(buckets: DataFrame, similarity: float) -> DataFrame:
     lead = buckets.groupBy("key", "band").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("leads"))
     both = lead.unionByName(lead.withColumn("band", F.col("band") + 1))
     found = buckets.join(both, ["key", "band"]).select(F.col("node").alias("p"), F.explode("leads").alias("q")).where("p <> q")
-    sized = buckets.select("node", "n").distinct()
-    mine, other = (sized.select(F.col("node").alias(c), F.col("n").alias(m)) for c, m in (("a", "na"), ("b", "nb")))
-    return _ordered(found).join(mine, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+    sized = buckets.select("node", "n", "most").distinct()
+    mine, other = (sized.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("most").alias("m" + c)) for c in ("a", "b"))
+    both = _ordered(found).join(mine, "a").join(other, "b")
+    return both.where(_fits(F.col("na"), F.col("nb"), similarity) & _enough(F.least("ma", "mb"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
 def _across(rooted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of buckets (key, node, n, band, root), the pairs of different roots whose leading shingles allow the similarity. A pair meets once in each bucket that
-    it shares, so the number of its meetings is that of the leading shingles shared."""
+    """(a, b): of buckets (key, node, n, few, band, root), the pairs of different roots whose sizes allow the similarity, where the key will do for the smaller one."""
     counted = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
     mixed = counted.where("roots > 1").select("key", F.col("top.root").alias("top"))
     members = rooted.join(mixed, "key")
-    probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    # Of two nodes that are both outside the largest component, the larger one asks.
-    found = probes.join(members, ["key", "band"]).where((F.col("r") != F.col("root")) & _fits(F.col("n"), F.col("m"), similarity) & ((F.col("root") == F.col("top")) | (F.col("p") > F.col("node"))))
-    pairs = found.groupBy(F.greatest("p", "node").alias("a"), F.least("p", "node").alias("b")).agg(F.count("*").alias("c"), F.first(F.col("n") + F.col("m")).alias("both"), F.first(F.greatest("n", "m")).alias("top"))
-    rest = F.ceil(similarity * F.col("top") - 1e-9) - 1  # shingles of the larger set that aren't leading ones
-    return pairs.where(_allow(F.col("c"), rest, F.col("both"), similarity)).select("a", "b")
+    probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("few").alias("pf"), F.col("most").alias("pm"), F.col("before").alias("pb"), F.col("root").alias("r"), "band")
+    # A probe looks in its own band and those beside it. Of two nodes that are both outside the largest component, the larger one asks.
+    larger = F.struct("m", "p") > F.struct("n", "node")
+    enough = _enough(F.least("pb", "before") + F.least(F.col("pm") - F.col("pb"), F.col("most") - F.col("before")), F.col("n") + F.col("m"), similarity)
+    right = (F.col("r") != F.col("root")) & enough & _fits(F.col("n"), F.col("m"), similarity) & F.when(larger, F.col("few")).otherwise(F.col("pf")) & ((F.col("root") == F.col("top")) | (F.col("p") > F.col("node")))
+    probes = probes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    found = probes.join(members, ["key", "band"]).where(right)
+    return _ordered(found.select("p", F.col("node").alias("q")))
 
 
-def _allow(shared: Column, rest: Column, both: Column, similarity: float) -> Column:
-    """Whether two sets of ``both`` shingles in sum can have the similarity: what they share is among the leading ones of both, or comes after
-    those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
-    return shared + rest >= similarity / (1 + similarity) * both - 1e-6
+def _enough(shared: Column, both: Column, similarity: float) -> Column:
+    """Whether two sets of ``both`` shingles in sum can have the similarity if they share at most ``shared``."""
+    return shared >= similarity / (1 + similarity) * both - 1e-6
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -177,11 +187,12 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose leading shingles allow the similarity."""
+    """The pairs (a, b) whose leading shingles allow the similarity. What two sets share is among the leading ones of both, or comes after
+    those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
     left, right = (heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("keys").alias("k" + c)) for c in ("a", "b"))
     rest = F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(_allow(F.size(F.array_intersect("ka", "kb")), rest, F.col("na") + F.col("nb"), similarity)).select("a", "b")
+    return both.where(_enough(F.size(F.array_intersect("ka", "kb")) + rest, F.col("na") + F.col("nb"), similarity)).select("a", "b")
 
 
 def _verified(likely: DataFrame, each: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -206,10 +217,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     buckets = written(_buckets(each, similarity), "buckets")
     heads = written(each.select("node", "n", "keys").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "heads")
     first = _verified(_likely(_leads(buckets, similarity), heads, similarity), each, rows, similarity, width)
-    rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "band", F.coalesce("b", "node").alias("root"))
+    rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "few", "most", "before", "band", F.coalesce("b", "node").alias("root"))
     rooted = written(rooted, "rooted")
     discard(buckets)
-    more = _verified(_across(rooted, similarity), each, rows, similarity, width)
+    more = _verified(_likely(_across(rooted, similarity), heads, similarity), each, rows, similarity, width)
     found = components(first.unionByName(more))
     for spent in (rooted, heads, first, more):
         discard(spent)
