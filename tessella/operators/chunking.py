@@ -21,9 +21,9 @@ def gear_table(seed: bytes = b"tessella gear") -> np.ndarray:
 
 
 def round_log2(n: int) -> int:
-    """The exponent of the power of two next to ``n`` (the larger one from the middle on)."""
+    """The binary logarithm of ``n``, rounded: the larger exponent from the geometric middle of two powers on."""
     low = n.bit_length() - 1
-    return low + 1 if n - (1 << low) >= (1 << low) / 2 and n > 1 else low
+    return low + (n * n >= 1 << (2 * low + 1))
 
 
 def boundaries(data: bytes, low: int, average: int, high: int, table: np.ndarray | None = None) -> list[int]:

@@ -117,11 +117,11 @@ def _(t):
 
 
 @query("snapshots_parent", """
-WITH r AS (SELECT client, list_sort(list(DISTINCT path)) AS roots FROM snap WHERE key % 2 = 0 GROUP BY client),
-s AS (SELECT client, arg_max(key, {'t': ts, 'k': key}) AS key, CASE WHEN client % 3 = 0 THEN list_sort(list(DISTINCT path)) ELSE ['view'] END AS roots FROM snap WHERE key % 2 = 0 GROUP BY client)
+WITH r AS (SELECT client, list_sort(list(DISTINCT path)) AS roots FROM snap GROUP BY client),
+s AS (SELECT client, arg_max(key, {'t': ts, 'k': key}) AS key, CASE WHEN client % 3 = 0 THEN list_sort(list(DISTINCT path)) ELSE ['view'] END AS roots FROM snap GROUP BY client)
 SELECT r.client, CASE WHEN r.roots = s.roots THEN s.key END AS parent FROM r LEFT JOIN s USING (client)""")
 def _(t):
-    some = t.snapshots().where("key % 2 = 0")
+    some = t.snapshots()
     paths = some.groupBy("client").agg(F.array_sort(F.collect_set("path")).alias("root_paths"))
     new = snapshots.latest(some, ["client"]).join(paths, "client").withColumn("root_paths", F.when(F.col("client") % 3 == 0, F.col("root_paths")).otherwise(F.array(F.lit("view"))))
     return snapshots.parents(paths, new).select("client", "parent")
@@ -605,10 +605,10 @@ def _(t):
     return diff.commit_gate_trees(marks.select(F.col("id").alias("node")), marks, t.raw("orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id")), t.touches())
 
 
-@query("schedule_next_due", "WITH d AS (SELECT repo, CASE job WHEN 'click' THEN 'prune' WHEN 'view' THEN 'forget' ELSE 'backup' END AS job, date_trunc('day', started) AS dd FROM job WHERE id % 5 = 0) SELECT repo, min({'at': dd, 'r': CASE job WHEN 'backup' THEN 1 WHEN 'forget' THEN 2 ELSE 3 END, 'j': job}).j AS job, CAST(min(dd) AS TIMESTAMP) AS \"at\" FROM d GROUP BY repo")
+@query("schedule_next_due", "WITH d AS (SELECT repo, CASE job WHEN 'click' THEN 'prune' WHEN 'view' THEN 'forget' ELSE 'backup' END AS job, date_trunc('day', started) AS dd FROM job) SELECT repo, min({'at': dd, 'r': CASE job WHEN 'backup' THEN 1 WHEN 'forget' THEN 2 ELSE 3 END, 'j': job}).j AS job, CAST(min(dd) AS TIMESTAMP) AS \"at\" FROM d GROUP BY repo")
 def _(t):
     job = F.when(F.col("job") == "click", "prune").when(F.col("job") == "view", "forget").otherwise("backup")
-    due = t.jobs().where("id % 5 = 0").select("repo", job.alias("job"), F.date_trunc("day", "started").alias("at"))
+    due = t.jobs().select("repo", job.alias("job"), F.date_trunc("day", "started").alias("at"))
     return schedule.next_due(due).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

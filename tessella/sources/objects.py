@@ -10,19 +10,17 @@ from ..functions import scalars as S
 
 
 def parse_location(text: str) -> tuple[str, str]:
-    """(scheme, path): ``s3://``, ``sftp://``, ``rclone:`` or a local path; empty or another scheme is an error."""
+    """(scheme, path): ``s3://``, ``sftp://``, ``rclone://`` or, without ``://``, a local path; an empty one, another scheme or no bucket or host is an error."""
     if not text:
         raise ValueError("an empty location")
-    if text.startswith("rclone:"):
-        return "rclone", text.removeprefix("rclone:").removeprefix("//")
     scheme, sep, rest = text.partition("://")
     if not sep:
         return "local", text
-    if scheme not in ("s3", "sftp", "rclone", "file"):
+    if scheme not in ("s3", "sftp", "rclone"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    if not rest:
+    if not rest.partition("/")[0]:
         raise ValueError(f"nothing after {scheme}://")
-    return ("local" if scheme == "file" else scheme), rest
+    return scheme, rest
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Keeping the index table up to date from a folder of blobs, as a stream that reads each file once.
 
 A batch of new blobs is merged into the present version (the new record of a chunk wins) and written as the next version; a small
-marker file names the version, and is replaced last. If a known blob was superseded, the index is built anew from the effective ones.
+marker file names the version, and is added last. If a known blob was superseded or has vanished, the index is built anew from the effective ones.
 """
 
 from __future__ import annotations
@@ -33,17 +33,19 @@ class IndexTable:
         # Rows of one chunk range stand together, so that lookups by chunk read few row groups.
         entries.repartitionByRange("chunk").sortWithinPartitions("chunk").write.mode("overwrite").parquet(f"{at}/index")
         blobs.write.mode("overwrite").parquet(f"{at}/blobs")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+        # One more marker file: readers see the version before or this one, never none.
+        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/current")
 
     def merge(self, batch: DataFrame, all_blobs: DataFrame) -> None:
         """``batch``: the blobs not seen before. ``all_blobs``: every blob there is, from which an index is rebuilt if need be."""
-        if batch.isEmpty():
-            return
         known, entries = self.read("blobs"), self.read()
+        effective = index.effective_blobs(all_blobs).select("blob")
+        # Every known blob must still count: one that was superseded, or that has vanished, takes its entries along.
+        stale = known is not None and not known.join(effective, "blob", "left_anti").isEmpty()
+        if batch.isEmpty() and not stale:
+            return
         gone = index.superseded(all_blobs)
-        stale = known is not None and not known.join(gone, "blob", "left_semi").isEmpty()
         if known is None or stale:
-            effective = index.effective_blobs(all_blobs).select("blob")
             self._commit(index.canonical_holders(index.holders(all_blobs).drop("blob")), effective)
             return
         fresh = batch.join(gone, "blob", "left_anti")
@@ -56,3 +58,4 @@ class IndexTable:
         every = self.spark.read.schema(schemas.INDEX_BLOBS).parquet(blob_folder)
         q = stream.writeStream.foreachBatch(lambda batch, _: self.merge(batch, every)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
+        self.merge(every.where(F.lit(False)), every)  # without new files no batch runs, but known ones may have gone

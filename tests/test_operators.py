@@ -244,3 +244,9 @@ def test_exclusion(spark):
     got = {r["path"]: (r["taken"], r["topmost"]) for r in exclude.walk(df, rules, spark.createDataFrame([("/b/named.o",)], "path string")).collect()}
     assert {p for p, (t, _) in got.items() if t} == {"/a", "/a/CACHEDIR.TAG", "/b", "/b/CACHEDIR.TAG", "/b/even", "/mnt", "/b/named.o"}
     assert {p for p, (_, t) in got.items() if t} == {"/a/x", "/a/sub", "/b/big", "/b/other.o"}
+
+
+def test_rounded_logarithm_at_the_geometric_middle():
+    from tessella.operators import chunking
+
+    assert [chunking.round_log2(n) for n in (2, 3, 5, 6, 11, 12, 22, 23, 45, 46, 90, 91, 92681, 92682)] == [1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 16, 17]

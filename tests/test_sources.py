@@ -109,3 +109,42 @@ def test_pack_trailers(spark):
     good, cut = body + b"t" * 5 + (30).to_bytes(8, "big") + (5).to_bytes(8, "big"), body + (30).to_bytes(8, "big") + (5).to_bytes(8, "big")
     df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(cut))], "key string, content binary")
     assert [(r["key"], int(r["trailer_offset"]), int(r["trailer_length"]), r["complete"]) for r in objects.pack_trailers(df).orderBy("key").collect()] == [("a", 30, 5, True), ("b", 30, 5, False)]
+
+
+def test_lists_as_they_are_written_elsewhere(spark, tmp_path):
+    """A mark only at the front, white space of any kind, line ends other than LF within names, and names that end wrongly."""
+    (tmp_path / "l").write_bytes("﻿\t a　\n﻿b\nc d\x0be\x85\n".encode())
+    names = lambda f, m: [r["name"] for r in lists.files_from(spark, str(tmp_path / f), m).collect()]
+    assert names("l", "plain") == ["a", "﻿b", "c d\x0be"] and names("l", "verbatim") == ["\t a　", "﻿b", "c d\x0be\x85"]
+    for k, bad in enumerate((b"a\0b", b"a\0\0b\0", b"\0")):
+        (tmp_path / f"r{k}").write_bytes(bad)
+        with pytest.raises(Exception, match="NUL|empty name"):
+            names(f"r{k}", "raw")
+    (tmp_path / "none").write_bytes(b"")
+    assert names("none", "raw") == []
+    assert [p.text for p in lists.patterns("a\x0bb\n c　\r\n")] == ["a\x0bb", "c"]
+
+
+def test_locations_that_are_none():
+    assert objects.parse_location("rclone:x") == ("local", "rclone:x")
+    for bad in ("file:///x", "s3:///x", "rclone://"):
+        with pytest.raises(ValueError):
+            objects.parse_location(bad)
+
+
+def test_vanished_blobs_take_their_entries_along(spark, tmp_path):
+    import shutil
+
+    blobs, kept, table = tmp_path / "blobs", tmp_path / "kept", IndexTable(spark, str(tmp_path / "index"))
+    _blob(spark, str(blobs), 1, [(10, 1), (10, 2)])
+    shutil.copytree(blobs, kept)
+    _blob(spark, str(blobs), 2, [(11, 2), (11, 3)])
+    every = lambda at: spark.read.schema(schemas.INDEX_BLOBS).parquet(str(at))
+    table.merge(every(blobs), every(blobs))
+    assert {(r["chunk"][0], r["pack"][0]) for r in table.read().collect()} == {(1, 10), (2, 11), (3, 11)}
+    none = every(blobs).limit(0)
+    table.merge(none, every(kept))  # blob 2 is gone, and nothing new has come
+    assert {(r["chunk"][0], r["pack"][0]) for r in table.read().collect()} == {(1, 10), (2, 10)}
+    at = table._version()
+    table.merge(none, every(kept))
+    assert table._version() == at
