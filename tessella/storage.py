@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and driver and executors are one process, as in tests."""
@@ -28,7 +31,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    # Rows are whole texts here: Python workers and the buffers that feed them hold so many at a time.
+    before = spark.conf.get(BATCH_ROWS, None)
+    spark.conf.set(BATCH_ROWS, str(min(ROWS, int(before or ROWS))))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before) if before else spark.conf.unset(BATCH_ROWS)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessella_path = path
     return out
