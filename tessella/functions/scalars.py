@@ -69,12 +69,20 @@ def lossy_text(raw: Column) -> Column:
 
 
 def human_bytes(n: Column, last: str = "PiB") -> Column:
-    """Binary units with one decimal from a KiB on; halves go to the even digit."""
+    """Binary units with one decimal from a KiB on, as of a double; what is exactly a half goes to the even digit. Null stays null."""
     units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
     units = units[: units.index(last) + 1]
-    out = F.format_string("%d B", n.cast("bigint"))
+    n = n.cast("bigint")
+    # The double as a whole number; the largest ones would round to 2**63.
+    d = F.least(n.cast("double"), F.lit(float(2**63 - 1024))).cast("bigint")
+    out = F.when(n.isNotNull(), F.format_string("%d B", n))
     for k, u in enumerate(units[1:], 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {u}", F.bround(n.cast("double") / float(1024**k), 1))).otherwise(out)
+        unit = 1024**k
+        tenths = d.bitwiseAND(F.lit(unit - 1)) * 10
+        digit, over = F.shiftright(tenths, 10 * k), tenths.bitwiseAND(F.lit(unit - 1))
+        digit += ((over > unit // 2) | ((over == unit // 2) & (digit % 2 == 1))).cast("bigint")
+        whole = F.shiftright(d, 10 * k) + (digit == 10).cast("bigint")
+        out = F.when(n >= unit, F.format_string(f"%d.%d {u}", whole, digit % 10)).otherwise(out)
     return out
 
 

@@ -476,7 +476,7 @@ def _(t):
 FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_orderkey * (o_orderkey % 1000) AS b FROM orders)""")
 def _(t):
     key = F.col("o_orderkey")
-    return t.raw("orders").select(key.alias("id"), S.human_bytes(key * key * (key % 1000)).alias("size"))
+    return t.raw("orders").select(key.alias("id"), S.human_bytes(key * key * (key % 1000), "TiB").alias("size"))
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------------

@@ -44,6 +44,19 @@ def test_scalars(spark):
     assert list(row) == ["ab" * 32, True, None, "20231114T221320123456789Z", "abcdef0123", "abcd/20231114T221320123456789Z", False, False, "packs/ab/abcd", "1.5 KiB", "a�"]
 
 
+def test_sizes_round_as_printf_does(spark):
+    near = int(4096.15 * 2**40)  # as a double a little below the half that its shortest digits show
+    ns = [1023, 1024, 1280, 1792, 2047, 2**20 - 1, 1126 * 2**40 + 1, near, near * 37, 2**60 + 2**57 + 12345, 2**63 - 1]
+    got = [list(r) for r in spark.createDataFrame([(n,) for n in ns], "n long").select(S.human_bytes(F.col("n"), "TiB"), S.human_bytes(F.col("n"))).collect()]
+    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+
+    def plain(n, last):
+        k = max(j for j in range(last + 1) if n >= 1024**j)
+        return "%.1f %s" % (float(n) / 1024**k, units[k]) if k else f"{n} B"
+
+    assert got == [[plain(n, 4), plain(n, 5)] for n in ns]
+
+
 def _segment(p: str, s: str) -> bool:
     """A segment pattern against a name, by recursion."""
     if not p:

@@ -48,3 +48,13 @@ def test_query(spark, sf, duck, name):
     at = [names.index(c) for c in sorted(df.columns)]
     want = [[_plain(r[i]) for i in at] for r in cur.fetchall()]
     assert Counter(map(str, got)) == Counter(map(str, want))
+
+
+def test_human_sizes_of_large_and_null_keys(spark, tmp_path):
+    """Keys beyond those of the test tables: sizes over a PiB, which the SQL gives in TiB, halves, and none."""
+    keys = [0, 1, 32, 999, 150_001, 1_200_781, 3_000_002, 8_999_999, 35_999_999, 91_999_999, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r["id"], r["size"]) for r in QUERIES["human_sizes"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLES["human_sizes"]).fetchall()) and (1_200_781, "1024.2 TiB") in got and (None, None) in got
