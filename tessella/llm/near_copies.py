@@ -5,7 +5,8 @@ sample of texts (which grows with the corpus) last, the others by their hashes,
 (n: the size of the set), so each node goes into a bucket for each of these: no pair is missed, whatever the sample holds. Sizes that allow the similarity lie in the same
 band of sizes or in neighbouring ones. A bucket's nodes are first compared with a few leads of their band and of the band below; what
 that links is one component. Then the pairs of a bucket that lie in different components are compared, those within its largest component
-excepted, so a large group of near copies costs a few comparisons for each member and bucket. A candidate pair is first judged by its leading shingles, which bound what
+excepted, so a large group of near copies makes a few pairs for each member. In large buckets only pairs whose sketches (512 bits of a set) allow the similarity are made:
+the join still looks at two such nodes, but makes no row of them. A candidate pair is then judged by its sizes, sketches and leading shingles, which bound what
 the whole sets can share; only what they leave is verified on the whole sets.
 
 Only the shingles are made in Python, a text at a time. Buckets, leads, candidate pairs and verification are DataFrame operations that combine before they shuffle and
@@ -38,9 +39,9 @@ SAMPLE = 4
 COMMON = 2
 MOST_COMMON = 400_000
 RANKS = 1 << 22
-#: Nodes of a bucket and band with which all others of it are compared first.
-LEADS = 8
-SEEDS = 16
+#: Longs of a set's sketch, and from how many nodes on a bucket's pairs are held against it before they are made.
+SKETCH = 8
+CROWD = 32
 #: Bits of the table that tells rows of candidates.
 TABLE_BITS = 1 << 22
 #: Texts in one piece of what Python returns.
@@ -67,6 +68,13 @@ def leading(s: np.ndarray, ranks: np.ndarray, similarity: float = SIMILARITY) ->
     return s[np.argsort(ranks[s & U(len(ranks) - 1)], kind="stable")[:n]]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ``SKETCH`` parts of the hashes whether an odd number is in the set. Each shingle that only one of two sets has changes one bit,
+    so two sets differ in at least as many shingles as their sketches differ in bits."""
+    odd = np.bincount((s >> U(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
 def _node(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), 1)], U).view(np.int64)[0])
 
@@ -98,15 +106,16 @@ def _pieces(batches):
 
 
 def _keyed(rows: DataFrame, ranks: np.ndarray, similarity: float, width: int) -> DataFrame:
-    """(id, h, node, n, keys)."""
+    """(id, h, node, n, keys, bits)."""
 
     def run(batches):
         for batch in _pieces(batches):
             sets = [shingles(t.as_py(), width) for t in batch.column(2)]
             first = [leading(s, ranks, similarity).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["id", "h", "node", "n", "keys"])
+            bits = [sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["id", "h", "node", "n", "keys", "bits"])
 
-    return rows.mapInArrow(run, "id long, h long, node long, n long, keys array<long>")
+    return rows.mapInArrow(run, "id long, h long, node long, n long, keys array<long>, bits array<long>")
 
 
 def _buckets(each: DataFrame, similarity: float) -> DataFrame:
@@ -135,30 +144,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
 
 
-def _leads(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each node of a bucket with the leads of its band and of the band below, where the sizes allow the similarity. Leads are the smallest
-    node and those of the lowest hashes for ``LEADS`` - 1 of the seeds, which depend on the bucket: with several, a large group seldom stays in parts."""
-    turn = F.col("key").bitwiseAND(F.lit(SEEDS - 1))  # buckets with much the same nodes don't all choose the same ones
-    orders = [F.struct("n", "node"), *[F.struct(F.xxhash64("node", turn, F.lit(k)).alias("n"), "node") for k in range(1, LEADS)]]
+def _leads(buckets: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket with the leads of its band and of the band below. Leads are the smallest node and the two of which
+    others have most of the leading shingles: a text that the others were made from is nearer to each of them than they are to one another. Which
+    these are depends little on the bucket, so a node of a large group has few."""
+    odd = (F.col("n") - F.col("most")) / F.col("n")
+    orders = [F.struct("n", "node"), F.struct(odd.alias("o"), "n", "node"), F.struct(odd.alias("o"), F.xxhash64("node").alias("n"), "node")]
     lead = buckets.groupBy("key", "band").agg(F.array_distinct(F.array(*[F.min(o)["node"] for o in orders])).alias("leads"))
     both = lead.unionByName(lead.withColumn("band", F.col("band") + 1))
-    found = buckets.join(both, ["key", "band"]).select(F.col("node").alias("p"), F.explode("leads").alias("q")).where("p <> q")
-    sized = buckets.select("node", "n", "most").distinct()
-    mine, other = (sized.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("most").alias("m" + c)) for c in ("a", "b"))
-    both = _ordered(found).join(mine, "a").join(other, "b")
-    return both.where(_fits(F.col("na"), F.col("nb"), similarity) & _enough(F.least("ma", "mb"), F.col("na") + F.col("nb"), similarity)).select("a", "b")
+    return _ordered(buckets.join(both, ["key", "band"]).select(F.col("node").alias("p"), F.explode("leads").alias("q")).where("p <> q"))
 
 
-def _across(rooted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of buckets (key, node, n, few, band, root), the pairs of different roots whose sizes allow the similarity, where the key will do for the smaller one."""
-    counted = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
-    mixed = counted.where("roots > 1").select("key", F.col("top.root").alias("top"))
+def _across(rooted: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of buckets (key, node, n, few, band, root), the pairs of different roots whose sizes, and in large buckets sketches, allow the similarity, where the key will do for the smaller one."""
+    counted = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"), F.sum("c").alias("nodes"))
+    mixed = counted.where("roots > 1").select("key", F.col("top.root").alias("top"), "nodes")
     members = rooted.join(mixed, "key")
-    probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("few").alias("pf"), F.col("most").alias("pm"), F.col("before").alias("pb"), F.col("root").alias("r"), "band")
+    bits = heads.select("node", "bits")
+    members = members.where(F.col("nodes") >= CROWD).join(bits, "node").unionByName(members.where(F.col("nodes") < CROWD).withColumn("bits", F.lit(None).cast("array<long>"))).drop("nodes")
+    probes = members.where(F.col("root") != F.col("top")).select("key", F.col("node").alias("p"), F.col("n").alias("m"), F.col("few").alias("pf"), F.col("most").alias("pm"), F.col("before").alias("pb"), F.col("root").alias("r"), F.col("bits").alias("pbits"), "band")
     # A probe looks in its own band and those beside it. Of two nodes that are both outside the largest component, the larger one asks.
     larger = F.struct("m", "p") > F.struct("n", "node")
     enough = _enough(F.least("pb", "before") + F.least(F.col("pm") - F.col("pb"), F.col("most") - F.col("before")), F.col("n") + F.col("m"), similarity)
     right = (F.col("r") != F.col("root")) & enough & _fits(F.col("n"), F.col("m"), similarity) & F.when(larger, F.col("few")).otherwise(F.col("pf")) & ((F.col("root") == F.col("top")) | (F.col("p") > F.col("node")))
+    right = right & F.coalesce(_alike(F.col("pbits"), F.col("bits"), F.col("n") + F.col("m"), similarity), F.lit(True))
     probes = probes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     found = probes.join(members, ["key", "band"]).where(right)
     return _ordered(found.select("p", F.col("node").alias("q")))
@@ -169,6 +178,12 @@ def _enough(shared: Column, both: Column, similarity: float) -> Column:
     return shared >= similarity / (1 + similarity) * both - 1e-6
 
 
+def _alike(x: Column, y: Column, both: Column, similarity: float) -> Column:
+    """Whether two sets of ``both`` shingles in sum can have the similarity, by their sketches."""
+    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, SKETCH)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return _enough((both - apart) / 2, both, similarity)
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, s array<long>) of all nodes of ``wanted(h)``, and perhaps of some others."""
     bit = F.pmod(F.col("h"), F.lit(TABLE_BITS))
@@ -187,12 +202,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose leading shingles allow the similarity. What two sets share is among the leading ones of both, or comes after
+    """The pairs (a, b) whose sizes, sketches and leading shingles allow the similarity. What two sets share is among the leading ones of both, or comes after
     those of the one whose leading ones end first; so it is at most the leading ones shared and the longer rest."""
-    left, right = (heads.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("keys").alias("k" + c)) for c in ("a", "b"))
-    rest = F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    left, right = (heads.select(F.col("node").alias(c), *[F.col(x).alias(x + c) for x in ("n", "most", "keys", "bits")]) for c in ("a", "b"))
+    size, rest = F.col("na") + F.col("nb"), F.greatest(F.col("na") - F.size("keysa"), F.col("nb") - F.size("keysb"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(_enough(F.size(F.array_intersect("ka", "kb")) + rest, F.col("na") + F.col("nb"), similarity)).select("a", "b")
+    both = both.where(_fits(F.col("na"), F.col("nb"), similarity) & _enough(F.least("mosta", "mostb"), size, similarity) & _alike(F.col("bitsa"), F.col("bitsb"), size, similarity))
+    return both.where(_enough(F.size(F.array_intersect("keysa", "keysb")) + rest, size, similarity)).select("a", "b")
 
 
 def _verified(likely: DataFrame, each: DataFrame, rows: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -215,12 +231,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = SH
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), _text(text_col).cast("binary").alias("t"))
     each = written(_keyed(rows, _ranks(rows, width), similarity, width), "shingles")
     buckets = written(_buckets(each, similarity), "buckets")
-    heads = written(each.select("node", "n", "keys").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "heads")
-    first = _verified(_likely(_leads(buckets, similarity), heads, similarity), each, rows, similarity, width)
+    heads = written(each.select("node", "n", "keys", "bits").join(buckets.select("node", "most").distinct(), "node").dropDuplicates(["node"]), "heads")
+    first = _verified(_likely(_leads(buckets), heads, similarity), each, rows, similarity, width)
     rooted = buckets.join(components(first), F.col("node") == F.col("a"), "left").select("key", "node", "n", "few", "most", "before", "band", F.coalesce("b", "node").alias("root"))
     rooted = written(rooted, "rooted")
     discard(buckets)
-    more = _verified(_likely(_across(rooted, similarity), heads, similarity), each, rows, similarity, width)
+    more = _verified(_likely(_across(rooted, heads, similarity), heads, similarity), each, rows, similarity, width)
     found = components(first.unionByName(more))
     for spent in (rooted, heads, first, more):
         discard(spent)

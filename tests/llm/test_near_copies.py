@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as C
+import numpy as np
 
 from tessella.llm import near_copies
 
@@ -70,3 +71,40 @@ def test_groups_of_another_operator_are_joined(spark):
 
     groups = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.when(F.col("doc_id").isin(2, 4), 7).otherwise(F.coalesce("doc_id", F.lit(99)) + 10).cast("long").alias("root"))
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs, groups=groups).collect()) == [1, 3, 5]
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text, each with words of its own, some so many that they are near to a few others or to none: the pairs that are made grow with the group, not with its square."""
+    r, made, before = random.Random(7), [], near_copies._likely
+    base, texts = [f"w{k}" for k in range(160)], []
+    for k in range(300):
+        words = list(base)
+        for at in r.sample(range(160), r.choice([0, 1, 2, 2, 3, 3, 4, 5, 6])):
+            words[at] = f"x{r.randrange(10**9)}"
+        texts.append((k, " ".join(words)))
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return before(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_likely", counted)
+    groups = {}
+    for x in near_copies.near_copies(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect():
+        groups.setdefault(x["root"], set()).add(x["id"])
+    sets = sets_of(texts)
+    root = {k: k for k in sets}
+    for a, b in combinations(sets, 2):
+        if near(sets[a], sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    assert {frozenset(g) for g in groups.values()} == {frozenset(k for k in root if root[k] == v) for v in root.values()}
+    assert sum(made) < 10 * len(texts)
+
+
+def test_sketches_never_rule_out_a_pair():
+    r = random.Random(5)
+    for _ in range(200):
+        pool = [r.getrandbits(64) for _ in range(r.choice([3, 50, 3000]))]
+        a, b = (np.unique(np.array(r.sample(pool, r.randint(1, len(pool))), np.uint64)) for _ in "ab")
+        x, y = (near_copies.sketch(s).view(np.uint64) for s in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
