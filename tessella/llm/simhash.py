@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, table, text_hash, written
-from .components import components
+from .components import components, stars
 
 U = np.uint64
 SEED = 42
@@ -118,19 +118,6 @@ def links_among(x: np.ndarray, free: int, distance: int = DISTANCE, refs: np.nda
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest member of each one's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _tables():
     """(shared bits, free bits) of each pair of groups."""
     at, masks = 0, []

@@ -85,3 +85,20 @@ def test_one_row_stays_of_rows_without_ids_too(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (None, "quite other words here"), (4, "a b c d"), (7, "some text of seven"), (7, "no copy of anything else"), (7, "some text of seven")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == [(4, "a b c d"), (7, "no copy of anything else"), (7, "some text of seven"), (None, "quite other words here")]
+
+
+def test_few_links_make_few_tables(spark, monkeypatch):
+    """Links of one task's size are joined in one task, after the rounds that bring them to it; the result is that of the rounds alone."""
+    from tessella.llm import components as module
+
+    r, made, before = random.Random(8), [], module.written
+    pairs = [(k, k + 1) for k in range(-40, 60)] + [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(150)] + [(5, 5), (-(1 << 63), 3000), (3000, (1 << 63) - 1)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    monkeypatch.setattr(module, "written", lambda *x: made.append(1) or before(*x))
+    found = {}
+    for most in (1000, 120, -1):
+        monkeypatch.setattr(module, "ONE_TASK", most)
+        made.clear()
+        found[most] = sorted(map(tuple, components(links).collect()))
+        assert most != 1000 or len(made) == 2
+    assert found[1000] == found[120] == found[-1] and (59, -40) in found[1000] and ((1 << 63) - 1, -(1 << 63)) in found[1000]
