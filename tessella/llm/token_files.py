@@ -56,7 +56,7 @@ class Encoder:
         # Texts with other characters, with white space or the end after a space, or with a special token's text aren't cut into words.
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.whole = f"[^{PLAIN}]| [ \\t\\n\\r]| $" + (f"|{special}" if special else "")
-        self.known = Remembered(self._words, longest=11)
+        self.known = Remembered(self._words, longest=16)
         names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.spaced = np.array([w.startswith("\u0120") for w, _ in names])  # the byte-level name of a space
 

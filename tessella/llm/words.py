@@ -8,20 +8,15 @@ import numpy as np
 import pyarrow as pa
 
 
-def by_parts(parts: pa.ListArray, known: Callable[[list[str]], list[bytes]], width: int = 4) -> list[bytes]:
-    """Each list's words' codes, joined. ``known`` gives the code of each distinct word, a multiple of ``width`` bytes long."""
-    begin = parts.offsets.to_numpy().astype(np.int64)
+def by_parts(parts: pa.ListArray, known: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    """Each list's words' codes, joined. ``known`` gives the code of each distinct word."""
     coded = parts.flatten().dictionary_encode()
-    codes = known(coded.dictionary.to_pylist())
-    at = coded.indices.to_numpy()
-    size = np.fromiter(map(len, codes), np.int32, len(codes)) // width
-    units = np.frombuffer(b"".join(codes), f"u{width}")
-    n = size[at]
-    ends = np.cumsum(n, dtype=np.int32)
-    place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - (ends - n), n)
-    place += np.arange(len(place), dtype=np.int32)
-    joined = units[place].tobytes()
-    cuts = (width * np.concatenate([[0], ends]).astype(np.int64)[begin]).tolist()
+    taken = pa.array(known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    # What is taken lies end to end.
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    joined = taken.buffers()[2].to_pybytes() if len(taken) else b""
+    begin = parts.offsets.to_numpy()
+    cuts = ends[begin - begin[:1]].tolist()
     return [joined[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
 

@@ -153,3 +153,24 @@ def test_no_frequent_pair_is_left():
     assert len(starts) > 4 and (counts[pairs[0] != pairs[1]] < token_files.MIN_COUNT).all()
     s = token_files.Shard(token_files.pack_shard(list(range(60)), [d.tobytes() for d in docs], 50257))
     assert (s.all() == np.where(flat == 50257, 2, flat)).all() and all((s.document(k)[:-1] == d).all() for k, d in enumerate(docs))
+
+
+def test_words_of_up_to_sixteen_characters_are_encoded_once(monkeypatch):
+    encoder, asked, before = token_files.Encoder(BPE), [], token_files.Encoder._words
+    monkeypatch.setattr(encoder.known, "compute", lambda words: asked.extend(words) or before(encoder, words))
+    texts = ["some extraordinarily understanding words", "words", ""]
+    assert encoder(texts) == encoder(texts) == encoder._library(texts)
+    assert asked.count(" understanding") == 1 and asked.count("some") == 1
+
+
+def test_codes_of_parts_are_joined():
+    import pyarrow as pa
+
+    from tessella.llm.words import by_parts
+
+    lists = [["a", "bb"], [], ["bb", "", "a", "a"], ["c"]]
+    known = lambda words: [w.encode() * 4 for w in words]
+    want = ["".join(w * 4 for w in x).encode() for x in lists]
+    parts = pa.array(lists, pa.list_(pa.string()))
+    assert by_parts(parts, known) == want and by_parts(parts.slice(1), known) == want[1:]
+    assert by_parts(parts.slice(1, 1), known) == [b""] and by_parts(parts.slice(0, 0), known) == []
