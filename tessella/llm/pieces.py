@@ -21,7 +21,7 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import table
-from .words import Remembered, by_parts, in_batches
+from .words import Remembered, by_parts, give_back, in_batches
 
 SPACE = "▁"
 #: Stands for a U+2581 of the text: a lone surrogate, which no text has.
@@ -164,6 +164,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def _lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task, after which its process gives freed memory back: it goes on to tasks of other stages."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean
+
+
 def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(columns of ``keep``, all by default; n_ids long, ids binary: little-endian 32-bit)."""
     keep = docs.columns if keep is None else keep
@@ -175,7 +187,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array(codes, pa.binary())], [*batch.schema.names[:-1], "n_ids", "ids"])
 
     each = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text"))
-    return each.mapInArrow(run, StructType([*each.schema.fields[:-1], StructField("n_ids", LongType()), StructField("ids", BinaryType())]))
+    return each.mapInArrow(_lean(run), StructType([*each.schema.fields[:-1], StructField("n_ids", LongType()), StructField("ids", BinaryType())]))
 
 
 def decode(coded: DataFrame, model: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -208,7 +220,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "same"])
 
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    return each.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return each.mapInArrow(_lean(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
 
 
 def op10_pieces(spark, sf_dir):

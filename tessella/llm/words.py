@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -62,3 +63,12 @@ class Remembered:
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not every C library has it
+        pass

@@ -174,3 +174,15 @@ def test_codes_of_parts_are_joined():
     parts = pa.array(lists, pa.list_(pa.string()))
     assert by_parts(parts, known) == want and by_parts(parts.slice(1), known) == want[1:]
     assert by_parts(parts.slice(1, 1), known) == [b""] and by_parts(parts.slice(0, 0), known) == []
+
+
+def test_a_task_gives_freed_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(pieces, "give_back", lambda: done.append(True))
+    task = pieces._lean(iter)([1, 2])
+    assert next(task) == 1 and not done
+    assert list(task) == [2] and done == [True]
+    stopped = pieces._lean(lambda batches: (b for b in batches))([1, 2])
+    next(stopped)
+    stopped.close()
+    assert done == [True, True]
